@@ -63,31 +63,37 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans ``starts[i]:ends[i]``, in order, not empty and not overlapping."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes = ends - starts
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    inside = data[place + np.repeat(starts, sizes)]
+    with np.errstate(over="ignore"):
+        return mix64(np.add.reduceat(_BYTE[inside] * _powers(int(sizes.max()))[place], first) + sizes.astype(np.uint64))
+
+
 class Words:
     """The words of a batch of byte strings: ``hashes`` in order, ``first[i]:first[i + 1]`` are those of string i."""
 
     def __init__(self, texts: Sequence[bytes], table: np.ndarray):
-        data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-        data = table[data]
-        inside = data != 32
-        edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=np.int8(0)))
+        self.data = table[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
+        edge = np.flatnonzero(np.diff((self.data != 32).astype(np.int8), prepend=np.int8(0)))
         self.starts, self.ends = edge[0::2], edge[1::2]
-        sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        self.first = np.searchsorted(self.starts, bounds)
-        if len(self.starts):
-            place = np.arange(len(data)) - np.repeat(np.concatenate([[0], self.starts]), np.diff(np.concatenate([[0], self.starts, [len(data)]])))
-            with np.errstate(over="ignore"):
-                terms = np.where(inside, _BYTE[data] * _powers(int(place.max()) + 1)[place], np.uint64(0))
-                sums = np.add.reduceat(terms, self.starts)
-                self.hashes = mix64(sums + (self.ends - self.starts).astype(np.uint64))
-        else:
-            self.hashes = np.zeros(0, np.uint64)
+        self.first = np.searchsorted(self.starts, text_bounds(texts))
+        self.hashes = span_hashes(self.data, self.starts, self.ends)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
 
+def text_bounds(texts: Sequence[bytes]) -> np.ndarray:
+    """Where each text begins when they are joined by one byte, and the end."""
+    return np.concatenate([[0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))])
+
+
 def blocks(texts: Iterable, size: int = 8 << 20) -> Iterable[tuple[int, list[bytes]]]:
     """``(first index, byte strings)`` of about ``size`` bytes; a longer text is a block of its own."""
     block: list[bytes] = []

@@ -13,7 +13,8 @@ shuffle, holds one group in memory, and a lost task is simply run again with the
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,19 +22,45 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._text import LOWER, WHITE, blocks, span_hashes, text_bounds
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Words whose ids a worker remembers at once.
-CACHE_WORDS = 400_000
-#: Texts are cut at white space into slices of about so many characters before words are split off.
-SLICE_CHARS = 1 << 20
-_WHITE = " \t\n\r\x0b\x0c"
+#: Bytes of text that are tokenised at a time.
+BLOCK_BYTES = 4 << 20
+#: Pieces of text whose ids a worker remembers at once.
+KNOWN_PIECES = 1_000_000
+_SPACE, _LETTER, _DIGIT, _MARK, _STICKY = range(5)
+
+
+def _byte_kinds() -> np.ndarray:
+    kinds = np.full(256, _MARK, np.uint8)
+    kinds[97:123] = _LETTER
+    kinds[48:58] = _DIGIT
+    kinds[list(WHITE)] = _SPACE
+    kinds[128:] = kinds[ord("'")] = _STICKY
+    return kinds
+
+
+KINDS = _byte_kinds()
+#: What the last token of a word ends with.
+WORD_END = "</w>"
+#: Pieces of one word that are tokenised together.
+GROUP = 64
+
+
+def _one_word(piece: str) -> bool:
+    """Certainly a single word of the tokenizer: letters of the Latin blocks, or ASCII marks."""
+    return piece.isalpha() and max(piece) < "\u0250" or piece.isascii() and not any(c.isalnum() or c == "'" for c in piece)
 
 
-class WordTokenizer:
-    """Ids of a text as little-endian uint32 bytes, from a tokenizer none of whose tokens crosses white space.
+class PieceTokenizer:
+    """Ids of whole texts, from a tokenizer that lower-cases and whose words are a contraction, a run of letters, a digit or a run of marks.
 
-    Such a tokenizer gives a text the ids of its words, one after another; the ids of words seen
-    before come from a bounded table.
+    A text is cut at white space and between an ASCII letter, digit and mark, but never beside an
+    apostrophe or a byte above 127, whose words the tokenizer itself must find. The ids of a text are
+    those of its pieces, one after another. Pieces are found and hashed by numpy, a block of texts at
+    a time; the tokenizer sees only pieces that the worker has not met. Texts that may hold a special
+    token are left to the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -43,45 +70,75 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self._known) + len(words) > CACHE_WORDS:
-            self._known.clear()
-        for word, got in zip(words, self._tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            self._known[word] = np.array(got.ids, "<u4").tobytes()
-
-    @staticmethod
-    def _slices(text: str) -> Iterator[str]:
-        begin = 0
-        while len(text) - begin > SLICE_CHARS:
-            end = begin + SLICE_CHARS
-            while end < len(text) and text[end] not in _WHITE:
-                end += 1
-            yield text[begin:end]
-            begin = end
-        yield text[begin:]
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        out = []
-        for begin in range(0, len(texts), 256):
-            split = [[part.translate(_SPACES).split(" ") for part in self._slices(t)] for t in texts[begin : begin + 256]]
-            for parts in split:
-                ids = []
-                for words in parts:
-                    known = self._known
-                    new = {w for w in words if w not in known}
-                    if new:
-                        self._learn(sorted(new))
-                        if any(w not in known for w in words):  # the table was emptied on the way
-                            self._learn(sorted({w for w in words if w not in known}))
-                    ids.append(b"".join(map(known.__getitem__, words)))
-                out.append(b"".join(ids))
+        vocabulary = self._tokenizer.get_vocab()
+        self._final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._final[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self._special = [t.content.lower().encode() for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._forget()
+
+    def _forget(self) -> None:
+        self._place: dict[int, int] = {}
+        self._ids, self._first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _whole(self, raw: bytes) -> np.ndarray:
+        return np.array(self._tokenizer.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, keys: list[int], pieces: list[str], group: int) -> None:
+        """Tokenises new pieces, ``group`` at a time; more than one at a time only if each is one word."""
+        got = self._tokenizer.encode_batch_fast([" ".join(pieces[i : i + group]) for i in range(0, len(pieces), group)], add_special_tokens=False)
+        each = [np.array(x.ids, np.uint32) for x in got]
+        sizes = np.array([len(x) for x in each], np.int64)
+        if group > 1:
+            ends = [np.flatnonzero(self._final[x]) + 1 for x in each]
+            if any(len(e) != len(pieces[i * group : (i + 1) * group]) for i, e in enumerate(ends)):
+                return self._learn(keys, pieces, 1)
+            sizes = np.concatenate([np.diff(e, prepend=0) for e in ends]) if ends else sizes
+        base = len(self._first) - 1
+        self._place.update(zip(keys, range(base, base + len(keys)), strict=True))
+        self._first = np.concatenate([self._first, self._first[-1] + np.cumsum(sizes)])
+        self._ids = np.concatenate([self._ids, *each])
+        return None
+
+    def _places(self, hashes: np.ndarray, words: Callable[[int], str]) -> np.ndarray:
+        """Where the table has these pieces; those not met before are tokenised."""
+        if len(self._place) + len(hashes) > KNOWN_PIECES:
+            self._forget()
+        keys = hashes.tolist()
+        new = [i for i, k in enumerate(keys) if k not in self._place]
+        if new:
+            pieces = [words(i) for i in new]
+            plain = [_one_word(x) for x in pieces]
+            for k in (True, False):
+                self._learn([keys[i] for i, p in zip(new, plain, strict=True) if p == k], [x for x, p in zip(pieces, plain, strict=True) if p == k], GROUP if k else 1)
+        return np.fromiter(map(self._place.__getitem__, keys), np.int64, len(keys))
+
+    def many(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each UTF-8 text."""
+        data = LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
+        kind = KINDS[data]
+        before = np.concatenate([[_SPACE], kind[:-1]]).astype(np.uint8)
+        cut = (kind != before) & (((kind != _STICKY) & (before != _STICKY)) | (before == _SPACE) | (kind == _SPACE))
+        edge = np.flatnonzero(cut | (kind == _SPACE))
+        starts = edge[kind[edge] != _SPACE]
+        ends = np.append(edge, len(data))[np.searchsorted(edge, starts, "right")]
+        hashes, sample, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        places = self._places(hashes, lambda i: raw[starts[sample[i]] : ends[sample[i]]].decode("utf-8", "replace"))[which.reshape(-1)]
+        sizes = np.diff(self._first)[places]
+        ids_before = np.concatenate([[0], np.cumsum(sizes)])
+        flat = self._ids[np.arange(ids_before[-1]) + np.repeat(self._first[places] - ids_before[:-1], sizes)].astype("<u4")
+        bounds = ids_before[np.searchsorted(starts, text_bounds(texts))]
+        out = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        for i, text in enumerate(texts):
+            if any(s in text.lower() for s in self._special):
+                out[i] = self._whole(text)
         return out
 
 
-_SPACES = {ord(c): " " for c in _WHITE}
+@cache
+def _tokenizer(path: str) -> PieceTokenizer:
+    """One for each worker process, which keeps what it has met from task to task."""
+    return PieceTokenizer(path)
 
 
 def plan(total: int, max_tokens: int) -> np.ndarray:
@@ -130,7 +187,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, max_tokens: int = 2048, end_id
         raise ValueError("max_tokens must be a power of two")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = _tokenizer(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 40
         ids: list[int | None] = []
@@ -161,12 +218,11 @@ def pack(docs: DataFrame, tokenizer_path: str, *, max_tokens: int = 2048, end_id
 
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
-            for begin in range(0, len(keys), 256):
-                texts = batch.column("text").slice(begin, 256).to_pylist()
-                for key, got in zip(keys[begin : begin + 256], tokenizer.many([t or "" for t in texts]), strict=True):
+            for begin, texts in blocks(batch.column("text").to_pylist(), BLOCK_BYTES):
+                for key, got in zip(keys[begin : begin + len(texts)], tokenizer.many(texts), strict=True):
                     ids.append(key)
-                    held.append(got + end)
-                    tokens += len(got) // 4 + 1
+                    held.append(got.tobytes() + end)
+                    tokens += len(got) + 1
                     if tokens >= group_tokens:
                         yield flush()
         if held:
