@@ -29,17 +29,23 @@ DATE = "2024-01-01T00:00:00Z"
 READ_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean, file string, record_offset long"
 
 
-def with_revisits(pages: DataFrame, *, min_payload: int = 1000) -> DataFrame:
-    """``page_id``, ``url``, ``payload``, ``digest``, and ``target``: the page that the record revisits, or null."""
+def with_revisits(pages: DataFrame, *, min_payload: int = 1000, max_broadcast_rows: int = 500_000) -> DataFrame:
+    """``page_id``, ``url``, ``payload``, ``digest``, and ``target``: the page that the record revisits, or null.
+
+    Digests that occur again, of 50 bytes each, are broadcast if they are counted to be at most ``max_broadcast_rows``, so
+    that payloads need not be shuffled; beyond that a shuffled join gives the same rows.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload")).withColumn("digest", F.sha1("payload"))
     large = rows.where(F.octet_length("payload") >= min_payload)
     # Read from the checkpoint, this side is a plain scan, so the join can split a hot digest.
     groups = checkpointed(large.groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("same"), "last"))
+    if groups.count() <= max_broadcast_rows:
+        groups = F.broadcast(groups)
     joined = rows.join(groups, F.col("digest") == F.col("same"), "left")
     return joined.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("target"))
 
 
-def write(pages: DataFrame, folder: str, *, min_payload: int = 1000, records_per_file: int = 50_000) -> None:
+def write(pages: DataFrame, folder: str, *, min_payload: int = 1000, records_per_file: int = 20_000) -> None:
     """Writes a record per page (``page_id``, ``url``, ``html``; other columns are ignored) to archives in ``folder``.
 
     Null html is an empty payload; a null url has no target header; repeated page ids get a record
