@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, packing, quality, secret_scan, toxicity, warc
+from . import ctw, decontam, packing, quality, secret_scan, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op4_decontamination, op5_secret_scan, op6_toxicity, op9_warc)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ctw.score(_table(spark, sf_dir, "documents"), ~ctw.held_out(F.col("doc_id")))
+    return scored.withColumn("held_out", ctw.held_out(F.col("doc_id")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op4_decontamination, op5_secret_scan, op6_toxicity, op9_warc, op10_lm_scoring)}
 
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.JUDGE_SQL, "op4_decontamination": decontam.SCAN_SQL, "op9_warc": warc.ROUND_TRIP_SQL}
