@@ -103,13 +103,15 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         return Model(np.zeros(0, np.uint64), np.zeros(0), bias)
     positive = [np.frombuffer(x, np.uint64) for x in sorted({x.tobytes() for x in positive})]  # copies tell nothing more
     words, counts = np.unique(np.concatenate(positive), return_counts=True)
+    often = counts >= max(min_documents, min_share * len(positive))
+    words, counts = words[often], counts[often]
     every, seen = np.unique(np.concatenate(unlabelled), return_counts=True)
     place = np.minimum(np.searchsorted(every, words), max(len(every) - 1, 0))
     general = np.where(every[place] == words, seen[place], 0) if len(every) else np.zeros(len(words))
     p, q = (counts + 0.5) / (len(positive) + 1), (general + 0.5) / (len(unlabelled) + 1)
     gain = counts * np.log(p / q)
     z = (counts - len(positive) * q) / np.sqrt(len(positive) * q * (1 - np.minimum(q, 0.999)))
-    chosen = np.flatnonzero((counts >= max(min_documents, min_share * len(positive))) & (p >= min_lift * q) & (z >= min_z))
+    chosen = np.flatnonzero((p >= min_lift * q) & (z >= min_z))
     chosen = np.sort(chosen[np.argsort(-gain[chosen], kind="stable")[:max_features]])
     words = words[chosen]
     if not len(words):
@@ -145,7 +147,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(words, theta[:-1], float(theta[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, training: Column, *, max_positive: int = 4000, max_unlabelled: int = 8000, **options: float) -> Model:
+def train(docs: DataFrame, labels: DataFrame, training: Column, *, max_positive: int = 3000, max_unlabelled: int = 6000, **options: float) -> Model:
     """A model from the rows of ``docs`` (``doc_id``, ``text``) for which ``training`` holds.
 
     P: those that ``labels`` (``doc_id``, ``toxic``) marks 1; U: a sample of all of them. The class prior is the share
@@ -161,7 +163,10 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, *, max_positive:
     ids = chosen.unionByName(others)  # at most max_positive + max_unlabelled rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
     rows = word_sets(texts).toArrow()
-    sets = [np.array(x, np.int64).view(np.uint64) for x in rows.column("words").to_pylist()]
+    sets: list[np.ndarray] = []
+    for part in rows.column("words").chunks:  # views of the received buffers
+        values, first = part.flatten().to_numpy().view(np.uint64), part.offsets.to_numpy() - part.offsets[0].as_py()
+        sets += [values[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
     flags = rows.column("positive").to_pylist()
     order = sorted(range(len(sets)), key=lambda i: (flags[i], len(sets[i]), sets[i].tobytes()))  # tasks end in any order
     return fit([sets[i] for i in order if flags[i]], [sets[i] for i in order if not flags[i]], (k / n) if n else 0.1, **options)
