@@ -7,8 +7,9 @@ probability that it reaches the threshold is below ``MISS``. What survives is ve
 
 Buckets can be large, so their pairs are not made. First each member is compared with its bucket's leader, the
 member that meets most others over all buckets. Linked members are joined to components; then only
-buckets that still hold several components compare members across these, in blocks, inside the tasks.
-So every pair that shares a bucket is compared or already connected.
+buckets that still hold several components compare members across these, in blocks, inside the tasks:
+Bayesian verification and then the full sets decide there, and a verified link joins its two components for
+the rest of the group. So every pair that shares a bucket is compared or already connected.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import checkpointed
@@ -158,60 +159,83 @@ def _both(pairs: DataFrame, values: DataFrame, value: str, left: str, right: str
     return pairs.join(second, "b").join(first, "a").select("a", "b", left, right)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int, threshold_percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold."""
+def sets_of(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id`` and ``shingles`` (sorted distinct hashes as bytes) of the documents in ``ids`` (``id``)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, texts in blocks(batch.column("text").to_pylist(), 4 << 20):
-                sets = [s.view(np.int64) for s in shingle_sets(texts, shingle)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, len(texts)), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+                sets = [s.tobytes() for s in shingle_sets(texts, shingle)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, len(texts)), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
-    ids = checkpointed(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    ids = checkpointed(ids.distinct())
     if ids.count() <= MAX_BROADCAST_IDS:
         ids = F.broadcast(ids)
-    wanted = docs.join(ids, docs["doc_id"] == F.col("id"), "left_semi")
-    sets = checkpointed(wanted.mapInArrow(run, "doc_id long, shingles array<long>"))
-    common, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    return _both(pairs, sets, "shingles", "x", "y").withColumn("common", common).where(100 * F.col("common") >= threshold_percent * (total - F.col("common"))).select("a", "b")
+    return checkpointed(docs.join(ids, docs["doc_id"] == F.col("id"), "left_semi").mapInArrow(run, "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, shingle: int, threshold_percent: int) -> DataFrame:
+    """The pairs whose full shingle sets reach the threshold."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for k, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
+                mine, theirs = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(mine, theirs, assume_unique=True))
+                if 100 * common >= threshold_percent * (len(mine) + len(theirs) - common):
+                    keep.append(k)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    sets = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), docs, shingle)
+    return _both(pairs, sets, "shingles", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def across(members: DataFrame, threshold_percent: int) -> DataFrame:
-    """Pairs of different components within a bucket that Bayesian verification keeps; ``members``: ``bucket``, ``n``, ``doc_id``, ``component``, ``signature``.
+    """Links between different components of a bucket; ``members``: ``bucket``, ``n``, ``doc_id``, ``component``, ``signature``, ``shingles`` (hashes as bytes).
 
     A bucket's members are dealt to blocks, and each pair of blocks is a group of its own, so a large
-    bucket is spread over many tasks. Only surviving pairs leave a task.
+    bucket is spread over many tasks. A pair is compared in the first bucket that it shares. A group gives
+    fewer links than it has components, enough to connect what is linked.
     """
     many = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), many).cast("int")
     dealt = members.withColumn("many", many).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "signature")
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "component", "own", "signature", "shingles")
+
+    def linked(key: tuple[int, int, int], group: list[tuple]) -> list[tuple[int, int]]:
+        ids, comp, own = (np.array([r[k] for r in group], np.int64) for k in (0, 1, 2))
+        signs = np.frombuffer(b"".join(r[3] for r in group), np.uint16).reshape(-1, BANDS * ROWS)
+        out = []
+        for x in range(len(group)):
+            others = np.flatnonzero((comp != comp[x]) & (ids > ids[x]) & (own != own[x] if key[1] != key[2] else True))
+            if not len(others):
+                continue
+            others = others[survivors(np.broadcast_to(signs[x], (len(others), BANDS * ROWS)), signs[others], threshold_percent)]
+            same = (signs[others] == signs[x]).reshape(-1, BANDS, ROWS).all(axis=2)
+            mine = np.frombuffer(group[x][4], np.uint64)
+            for y in others[same.argmax(axis=1) == key[0] & 63]:
+                if comp[y] == comp[x]:
+                    continue
+                theirs = np.frombuffer(group[y][4], np.uint64)
+                common = len(np.intersect1d(mine, theirs, assume_unique=True))
+                if 100 * common >= threshold_percent * (len(mine) + len(theirs) - common):
+                    out.append((int(ids[x]), int(ids[y])))
+                    comp[comp == comp[y]] = comp[x]
+        return out
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
-        key = None
-
-        def compared() -> Iterator[pa.RecordBatch]:
-            i, j = key[1], key[2]
-            signs = np.frombuffer(b"".join(r[2] for r in group), np.uint16).reshape(-1, BANDS * ROWS)
-            ids, comp, own = (np.array([r[k] for r in group], np.int64) for k in (0, 1, 3))
-            for x in range(len(group)):
-                others = np.flatnonzero((comp != comp[x]) & ((own != own[x]) if i != j else True) & (ids > ids[x]))
-                if len(others):
-                    kept = others[survivors(np.broadcast_to(signs[x], (len(others), BANDS * ROWS)), signs[others], threshold_percent)]
-                    if len(kept):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), ids[x])), pa.array(ids[kept])], ["a", "b"])
-
+        key, found = None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "doc_id", "component", "signature", "own")]
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "doc_id", "component", "own", "signature", "shingles")]
             for bucket, i, j, *row in zip(*columns, strict=True):
                 if (bucket, i, j) != key:
-                    if len(group) > 1:
-                        yield from compared()
+                    found += linked(key, group) if len(group) > 1 else []
                     key, group = (bucket, i, j), []
                 group.append(tuple(row))
-        if len(group) > 1:
-            yield from compared()
+        found += linked(key, group) if len(group) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
@@ -231,10 +255,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold_percent: int
     classes = checkpointed(usable.groupBy("class").agg(F.min("doc_id").alias("first")))
     heads = checkpointed(usable.join(classes, "class").where(F.col("doc_id") == F.col("first")).select("doc_id", "signature").dropDuplicates(["doc_id"]))
 
-    def band(i):  # noqa: ANN001, ANN202
-        return F.xxhash64(F.substring(F.col("signature"), 1 + 2 * ROWS * i, 2 * ROWS), i)
+    def band(i: int) -> Column:
+        """A hash of the band whose lower 6 bits are the band's number."""
+        return F.xxhash64(F.substring("signature", 1 + 2 * ROWS * i, 2 * ROWS)).bitwiseAND(-64).bitwiseOR(i)
 
-    keyed = heads.select("doc_id", F.explode(F.array(*[band(F.lit(i)) for i in range(BANDS)])).alias("bucket"))
+    keyed = heads.select("doc_id", F.explode(F.array(*[band(i) for i in range(BANDS)])).alias("bucket"))
     sizes = checkpointed(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = checkpointed(keyed.join(sizes, "bucket"))
     met = checkpointed(members.groupBy("doc_id").agg(F.sum("n").alias("met")))
@@ -245,9 +270,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold_percent: int
     joined = components(links)
     placed = checkpointed(members.join(joined, members["doc_id"] == joined["node"], "left").select("bucket", "n", "doc_id", F.coalesce("component", "doc_id").alias("component")))
     split = checkpointed(placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket"))
-    open_members = placed.join(split, "bucket").join(heads, "doc_id").select("bucket", "n", "doc_id", "component", "signature")
-    more = verified(checkpointed(across(open_members, threshold_percent)), source, shingle, threshold_percent)
-    joined = components(links.union(more))
+    still = checkpointed(placed.join(split, "bucket"))
+    sets = sets_of(still.select(F.col("doc_id").alias("id")), source, shingle)
+    joined = components(links.union(checkpointed(across(still.join(heads, "doc_id").join(sets, "doc_id"), threshold_percent))))
 
     whole = classes.join(joined, classes["first"] == joined["node"], "left").select("class", F.coalesce("component", "first").alias("component"))
     final = checkpointed(whole)
