@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontam, minhash, packing, quality, secret_scan, toxicity, warc
+from . import ctw, decontam, linededup, minhash, packing, quality, secret_scan, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", "n_near", "n_links", F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -49,6 +54,6 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", ctw.held_out(F.col("doc_id")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op4_decontamination, op5_secret_scan, op6_toxicity, op7_near_duplicates, op9_warc, op10_lm_scoring)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op4_decontamination, op5_secret_scan, op6_toxicity, op7_near_duplicates, op8_line_dedup, op9_warc, op10_lm_scoring)}
 
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.JUDGE_SQL, "op4_decontamination": decontam.SCAN_SQL, "op7_near_duplicates": minhash.NEAR_DUPLICATES_SQL, "op9_warc": warc.ROUND_TRIP_SQL}
