@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontam, linededup, minhash, packing, quality, secret_scan, toxicity, warc
+from . import ctw, decontam, linededup, minhash, packing, quality, secret_scan, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -54,6 +58,6 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", ctw.held_out(F.col("doc_id")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op4_decontamination, op5_secret_scan, op6_toxicity, op7_near_duplicates, op8_line_dedup, op9_warc, op10_lm_scoring)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_suffix_array_dedup, op4_decontamination, op5_secret_scan, op6_toxicity, op7_near_duplicates, op8_line_dedup, op9_warc, op10_lm_scoring)}
 
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.JUDGE_SQL, "op4_decontamination": decontam.SCAN_SQL, "op7_near_duplicates": minhash.NEAR_DUPLICATES_SQL, "op9_warc": warc.ROUND_TRIP_SQL}
