@@ -36,10 +36,10 @@ WIDTH, GRAM = 400, 32
 REACH = WIDTH - GRAM + 1
 BEFORE = REACH - 1
 SPAN = BEFORE + WIDTH
-#: Bytes that are winnowed at a time; positions in them take 24 bits of a sort key.
-SECTION = 8 << 20
+#: Bytes that are winnowed at a time; positions in them take at most 24 bits of a sort key.
+SECTION = 1 << 20
 #: Contexts that are built together; an anchor's contexts always are.
-TOGETHER = 20_000
+TOGETHER = 10_000
 #: Larger collections keep their columns in a file.
 MEMORY_BYTES = 128 << 20
 MAX_BROADCAST_ROWS = 2_000_000
@@ -66,6 +66,7 @@ class Hashes:
     """Hashes of any substrings of some bytes, equal for equal substrings."""
 
     def __init__(self, data: np.ndarray):
+        self.size = len(data)
         with np.errstate(over="ignore"):
             self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _power(0, len(data)), dtype=np.uint64)])
 
@@ -74,31 +75,38 @@ class Hashes:
             return mix64((self._sums[end] - self._sums[begin]) * _power(1, len(self._sums))[begin])
 
 
-def anchors(data: np.ndarray, hashes: Hashes, first: np.ndarray) -> np.ndarray:
-    """Positions of the anchors of texts that begin at ``first`` (and end where the next begins)."""
-    n = len(data) - GRAM + 1
-    if n <= 0:
+def anchors(hashes: Hashes, starts: np.ndarray) -> np.ndarray:
+    """Positions of the anchors of the strings that start at ``starts``, in order."""
+    n = hashes.size - GRAM + 1
+    if n <= 0 or not len(starts):
         return np.zeros(0, np.int64)
-    grams = hashes.of(slice(0, n), slice(GRAM, n + GRAM))
-    sizes = np.diff(first)
-    starts = np.zeros(len(data) + 1, np.int32)  # 1 where a string of WIDTH bytes can start
-    some = sizes >= WIDTH
-    np.add.at(starts, first[:-1][some], 1)
-    np.add.at(starts, first[:-1][some] + sizes[some] - WIDTH + 1, -1)
-    valid = np.cumsum(starts)[:-1].astype(bool)
-    out = []
-    for begin in range(0, n, SECTION):
-        part = grams[begin : begin + SECTION + REACH]
-        keys = (part & ~np.uint64(0xFFFFFF)) | np.arange(len(part), dtype=np.uint64)
-        padded = np.full(-(-len(keys) // REACH) * REACH + REACH, _NONE)
-        padded[: len(keys)] = keys
-        rows = padded.reshape(-1, REACH)
-        ahead = np.minimum.accumulate(rows, axis=1).reshape(-1)
-        behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-        own = np.flatnonzero(valid[begin : begin + SECTION])
-        least = np.minimum(behind[own], ahead[own + REACH - 1]) & np.uint64(0xFFFFFF)
-        out.append(np.unique(least.astype(np.int64) + begin))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+    keys = (hashes.of(slice(0, n), slice(GRAM, n + GRAM)) & ~np.uint64(0xFFFFFF)) | np.arange(n, dtype=np.uint64)
+    padded = np.full(-(-n // REACH) * REACH + REACH, _NONE)
+    padded[:n] = keys
+    rows = padded.reshape(-1, REACH)
+    ahead = np.minimum.accumulate(rows, axis=1).reshape(-1)
+    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return np.unique((np.minimum(behind[starts], ahead[starts + REACH - 1]) & np.uint64(0xFFFFFF)).astype(np.int64))
+
+
+def _pieces(texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Bytes to winnow at a time: short texts together, a long one in overlapping sections.
+
+    With them the positions at which strings start, and for each text in them its number, the place of its first byte (which can
+    lie before the bytes) and its size.
+    """
+    short = [i for i, t in enumerate(texts) if len(t) <= SECTION]
+    sizes = np.array([len(texts[i]) for i in short], np.int64)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    some = np.flatnonzero(sizes >= WIDTH)
+    counts = sizes[some] - WIDTH + 1
+    starts = np.arange(int(counts.sum())) + np.repeat(first[some] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) if len(some) else np.zeros(0, np.int64)
+    yield b"".join(texts[i] for i in short), starts, np.array(short, np.int64), first[:-1], sizes
+    for i, text in enumerate(texts):
+        for begin in range(0, len(text) if len(text) > SECTION else 0, SECTION):
+            low = max(0, begin - BEFORE)
+            starts = np.arange(begin, min(begin + SECTION, len(text) - WIDTH + 1)) - low
+            yield text[low : begin + SECTION + 2 * WIDTH], starts, np.array([i]), np.array([-low]), np.array([len(text)])
 
 
 def anchored(docs: DataFrame) -> DataFrame:
@@ -107,18 +115,22 @@ def anchored(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("doc").to_numpy()
-            for begin, texts in blocks(batch.column("text").to_pylist(), 4 << 20):
-                first = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-                data = np.frombuffer(b"".join(texts), np.uint8)
-                hashes = Hashes(data)
-                at = anchors(data, hashes, first)
-                text = np.searchsorted(first, at, "right") - 1
-                left, right = np.minimum(at - first[text], BEFORE), np.minimum(first[text + 1] - at, WIDTH)
-                with np.errstate(over="ignore"):
-                    context = mix64(hashes.of(at - left, at + right) + (left * 1000 + right).astype(np.uint64))
-                anchor = hashes.of(at, at + GRAM)
-                columns = [anchor.view(np.int64), context.view(np.int64), keys[begin + text], (first[text + 1] - first[text]).astype(np.int32), (at - first[text]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "context", "doc", "n", "pos"])
+            for begin, texts in blocks(batch.column("text").to_pylist(), SECTION):
+                last = {}
+                for raw, starts, numbers, first, sizes in _pieces(texts):
+                    hashes = Hashes(np.frombuffer(raw, np.uint8))
+                    at = anchors(hashes, starts)
+                    text = np.searchsorted(first, at, "right") - 1
+                    pos, n = at - first[text], sizes[text]
+                    if len(numbers) == 1:  # the next section of a text can begin with the last anchor of this one
+                        new = pos > last.get(int(numbers[0]), -1)
+                        at, text, pos, n = at[new], text[new], pos[new], n[new]
+                        last[int(numbers[0])] = int(pos[-1]) if len(pos) else last.get(int(numbers[0]), -1)
+                    left, right = np.minimum(pos, BEFORE), np.minimum(n - pos, WIDTH)
+                    with np.errstate(over="ignore"):
+                        context = mix64(hashes.of(at - left, at + right) + (left * 1000 + right).astype(np.uint64))
+                    columns = [hashes.of(at, at + GRAM).view(np.int64), context.view(np.int64), keys[begin + numbers[text]] if len(at) else np.zeros(0, np.int64), n.astype(np.int32), pos.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "context", "doc", "n", "pos"])
 
     return docs.mapInArrow(run, "anchor long, context long, doc long, n int, pos int")
 
