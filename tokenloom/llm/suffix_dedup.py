@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import checkpointed
+from ._store import written
 from ._text import blocks, mix64
 
 WIDTH, GRAM = 400, 32
@@ -208,7 +208,7 @@ def settled(contexts: DataFrame) -> DataFrame:
 
 def contexts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """The bytes of contexts ``wanted`` (``anchor``, ``context``, ``doc``, ``n``, ``pos``)."""
-    by_doc = checkpointed(wanted.groupBy("doc", "n").agg(F.collect_list(F.struct("pos", "anchor", "context")).alias("places")))
+    by_doc = written(wanted.groupBy("doc", "n").agg(F.collect_list(F.struct("pos", "anchor", "context")).alias("places")))
     if wanted.count() <= MAX_BROADCAST_ROWS:
         by_doc = F.broadcast(by_doc)
 
@@ -232,18 +232,18 @@ def remove_repeats(docs: DataFrame, *, with_kept: bool = False) -> DataFrame:
     a null id stays null; an empty table gives no rows.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("doc", F.xxhash64("text"))
-    every = checkpointed(anchored(source.select("doc", "text")))
+    every = written(anchored(source.select("doc", "text")))
     # Equal texts give equal rows here, and a pre-aggregated one for each task.
-    kinds = checkpointed(every.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "n", "pos")).alias("at")))
-    several = checkpointed(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(F.col("anchor").alias("open")))
+    kinds = written(every.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "n", "pos")).alias("at")))
+    several = written(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(F.col("anchor").alias("open")))
     # A context that occurs again is covered whole, but others of its anchor are compared with it.
-    wanted = checkpointed(kinds.join(several, F.col("anchor") == F.col("open"), "left_semi").select("anchor", "context", "times", "at.*"))
+    wanted = written(kinds.join(several, F.col("anchor") == F.col("open"), "left_semi").select("anchor", "context", "times", "at.*"))
     partly = settled(contexts_of(wanted.drop("times"), source))
-    partly = checkpointed(partly.join(kinds.where("times > 1").select("anchor", "context"), ["anchor", "context"], "left_anti"))
+    partly = written(partly.join(kinds.where("times > 1").select("anchor", "context"), ["anchor", "context"], "left_anti"))
     whole = kinds.where("times > 1").select("anchor", "context", F.lit(None).cast("array<int>").alias("spans"))
-    covered = checkpointed(whole.unionByName(partly).withColumnsRenamed({"anchor": "a", "context": "c"}))
+    covered = written(whole.unionByName(partly).withColumnsRenamed({"anchor": "a", "context": "c"}))
     marks = every.join(covered, (F.col("anchor") == F.col("a")) & (F.col("context") == F.col("c"))).select("doc", "n", "pos", "spans").distinct()
-    by_doc = checkpointed(marks.groupBy("doc", "n").agg(F.collect_list(F.struct("pos", "spans")).alias("marks")).withColumnsRenamed({"doc": "d", "n": "m"}))
+    by_doc = written(marks.groupBy("doc", "n").agg(F.collect_list(F.struct("pos", "spans")).alias("marks")).withColumnsRenamed({"doc": "d", "n": "m"}))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
