@@ -94,7 +94,7 @@ def text_bounds(texts: Sequence[bytes]) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))])
 
 
-def blocks(texts: Iterable, size: int = 8 << 20) -> Iterable[tuple[int, list[bytes]]]:
+def blocks(texts: Iterable, size: int = 1 << 20) -> Iterable[tuple[int, list[bytes]]]:
     """``(first index, byte strings)`` of about ``size`` bytes; a longer text is a block of its own."""
     block: list[bytes] = []
     begin = held = 0

@@ -78,7 +78,7 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             train = np.array(batch.column("train").to_pylist(), bool)
-            for begin, texts in blocks(batch.column("text").to_pylist(), 4 << 20):
+            for begin, texts in blocks(batch.column("text").to_pylist(), 2 << 20):
                 mine = train[begin : begin + len(texts)]
                 ends += int(mine.sum())
                 words = Words(texts, _WORDS)
@@ -265,7 +265,7 @@ def score(docs: DataFrame, training: Column, *, max_table_rows: int = 8_000_000,
         for batch in batches:
             numbers = batch.column("row").to_numpy()
             keys = batch.column("doc_id").to_pylist()
-            for begin, texts in blocks(batch.column("text").to_pylist(), 4 << 20):
+            for begin, texts in blocks(batch.column("text").to_pylist(), 2 << 20):
                 m = len(texts)
                 mine = numbers[begin : begin + m]
                 found = Words(texts, _WORDS)

@@ -131,7 +131,7 @@ def signed(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("doc_id")
-            for begin, texts in blocks(batch.column("text").to_pylist(), 4 << 20):
+            for begin, texts in blocks(batch.column("text").to_pylist()):
                 sets = shingle_sets(texts, shingle)
                 same = [hashlib.blake2b(b" ".join(t.translate(_LOWER).split()), digest_size=16).digest() if len(s) else None for t, s in zip(texts, sets, strict=True)]
                 signs = [row.tobytes() if len(s) else None for row, s in zip(signatures(sets), sets, strict=True)]
@@ -164,7 +164,7 @@ def sets_of(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, texts in blocks(batch.column("text").to_pylist(), 4 << 20):
+            for begin, texts in blocks(batch.column("text").to_pylist()):
                 sets = [s.tobytes() for s in shingle_sets(texts, shingle)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, len(texts)), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 

@@ -26,9 +26,9 @@ from ._text import LOWER, WHITE, blocks, span_hashes, text_bounds
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Bytes of text that are tokenised at a time.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Pieces of text whose ids a worker remembers at once.
-KNOWN_PIECES = 1_000_000
+KNOWN_PIECES = 500_000
 _SPACE, _LETTER, _DIGIT, _MARK, _STICKY = range(5)
 
 

@@ -130,7 +130,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, bas
         for batch in batches:
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             rows = []
-            for begin, raws in blocks(texts):
+            for begin, raws in blocks(texts, 2 << 20):
                 for k, (raw, spans) in enumerate(zip(raws, scanner.spans(raws), strict=True)):
                     points = _points(raw, spans)
                     named = [(f"{kinds[r]}:{a}:{b}", kinds[r]) for a, r, b in points]
