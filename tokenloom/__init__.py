@@ -1,0 +1 @@
+"""Approximate search over token sequences on Spark DataFrames."""
