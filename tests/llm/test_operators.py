@@ -364,6 +364,20 @@ def test_line_dedup_equals_brute_force(spark):
     assert by_row(found.collect()) == by_row(want)
 
 
+def test_band_equals_edit_distance(spark):
+    rng = random.Random(17)
+    pairs = [("", ""), ("a", ""), ("", "a"), ("ab", ""), ("ab", "ba"), (None, "a"), ("a", None), ("é" * 5000 + "x", "é" * 5000), ("ab" * 3000, "ba" * 3000)]
+    for _ in range(4000):
+        x = "".join(rng.choice("ab\U0001f600") for _ in range(rng.randrange(9)))
+        y = x
+        for _ in range(rng.randrange(4)):
+            y = edited(rng, y) if y else rng.choice("abé")
+        pairs.append((x, y))
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", linededup.within_one_edit(F.col("a"), F.col("b")), (F.levenshtein("a", "b") <= 1)).collect()
+    assert len(rows) == len(pairs) and [r for r in rows if r[2] != r[3]] == []
+    assert all(r[2] is None for r in rows if r.a is None or r.b is None)
+
+
 # WARC
 
 

@@ -8,7 +8,7 @@ with the same hashes, and that of lines one shorter with the segments behind the
 
 A segment that very many lines share would make all their pairs. Such keys are refined: the segment
 that holds the edit is split again, into ``FINE`` parts, of which all but one agree, so that lines meet only if they
-differ in one small stretch. Candidates are verified by Spark's banded edit distance on the whole lines.
+differ in one small stretch. Candidates are verified on the whole lines by a banded bit-parallel edit distance.
 """
 
 from __future__ import annotations
@@ -78,6 +78,35 @@ def _some(lines: DataFrame, ids: DataFrame) -> DataFrame:
     return checkpointed(lines.select("h", "line").join(ids, F.col("h") == F.col("id"), "left_semi").dropDuplicates(["h"]))
 
 
+def within_one_edit(left: Column, right: Column) -> Column:
+    """Whether at most one edit turns one string into the other; null if one is null.
+
+    A band of three diagonals suffices: after j characters of ``right``, j - 1, j or j + 1 of ``left`` are used. The state is six bits: the lower
+    three mark the diagonals that are reached without an edit, the upper three those with at most one. A character of ``right`` comes as the
+    mask of the diagonals on which ``left`` has it, for both levels, so that one step treats the band at once.
+    """
+
+    def after(characters: Column) -> Column:
+        def mark(c: Column, place: Column, bits: int) -> Column:
+            return F.when(F.get(characters, place) == c, F.lit(bits)).otherwise(F.lit(0))
+
+        def step(state: Column, mask: Column) -> Column:
+            stay = state.bitwiseAND(mask)
+            substituted = F.shiftleft(state.bitwiseAND(0b111), 3)
+            only_right = F.shiftleft(state.bitwiseAND(0b110), 2)
+            only_left = F.shiftleft(stay.bitwiseAND(0b011), 4)
+            return stay.bitwiseOR(substituted).bitwiseOR(only_right).bitwiseOR(only_left)
+
+        masks = F.transform(F.array_remove(F.split(right, ""), ""), lambda c, j: mark(c, j - 1, 0b001001) + mark(c, j, 0b010010) + mark(c, j + 1, 0b100100))
+        return F.aggregate(masks, F.lit(0b110010), step)
+
+    # A lambda variable holds the split line, which would be split again for each character else.
+    state = F.get(F.transform(F.array(F.split(left, "")), after), 0)
+    longer = F.length(left) - F.length(right)
+    reached = F.when(longer == -1, 0b001000).when(longer == 0, 0b010000).when(longer == 1, 0b100000).when(longer.isNotNull(), 0)
+    return state.bitwiseAND(reached) > 0
+
+
 def edit_links(lines: DataFrame, min_chars: int) -> DataFrame:
     """Pairs ``a``, ``b`` of hashes of different lines (``h``, ``line``) of at least ``min_chars`` characters within one edit."""
     # A probe for lines one shorter can belong to a line one longer than the least.
@@ -106,7 +135,7 @@ def edit_links(lines: DataFrame, min_chars: int) -> DataFrame:
     found = checkpointed(pairs.union(refined).distinct())
     texts = _some(long, found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))))
     left, right = (texts.select(F.col("h").alias(n), F.col("line").alias(f"line_{n}")) for n in "ab")
-    return found.join(left, "a").join(right, "b").where(F.levenshtein("line_a", "line_b", 1).between(0, 1)).select("a", "b")
+    return found.join(left, "a").join(right, "b").where(within_one_edit(F.col("line_a"), F.col("line_b"))).select("a", "b")
 
 
 def line_classes(docs: DataFrame, *, min_chars: int = 30) -> tuple[DataFrame, DataFrame]:
