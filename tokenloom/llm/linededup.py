@@ -170,7 +170,8 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 30) -> DataFrame:
     both = links.select("a").union(links.select(F.col("b").alias("a")))
     degrees = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("links")))
     known = checkpointed(classes.join(degrees, F.col("h") == F.col("node"), "left").select(F.col("h").alias("known"), "first", "own", F.coalesce("links", F.lit(0)).alias("links")))
-    again = lines_of(source).select("doc_id", "place", "h").join(known, F.col("h") == F.col("known"))
+    # Dealt by document after the join, so that the join may be split where one line is very common, and both groupings are local.
+    again = lines_of(source).select("doc_id", "place", "h").join(known, F.col("h") == F.col("known")).repartition("doc_id")
     here = F.struct("doc_id", "place")
     gone = here != F.col("first")
     # Different lines of one document that are equal count their links once.
