@@ -378,6 +378,49 @@ def test_band_equals_edit_distance(spark):
     assert all(r[2] is None for r in rows if r.a is None or r.b is None)
 
 
+def edit_distance(a, b, most):
+    """The distance, or most + 1 if it is more."""
+    row = {j: j for j in range(most + 1)}
+    for i, x in enumerate(a, 1):
+        last, row = row, {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            ways = [last.get(j, most) + 1, row.get(j - 1, most) + 1]
+            row[j] = min(*ways, last.get(j - 1, most + 1) + (x != b[j - 1])) if j else i
+        if min(row.values()) > most:
+            return most + 1
+    return min(row.get(len(b), most + 1), most + 1)
+
+
+@pytest.mark.parametrize("hot", [0, 4096])
+def test_long_lines_may_differ_by_more_edits(spark, monkeypatch, hot):
+    monkeypatch.setattr(linededup, "HOT_PAIRS", hot)
+    rng = random.Random(23)
+    lines = []
+    for size in (31, 33, 62, 66, 127, 129, 140, 254, 258, 300, 513):
+        x = "".join(rng.choice("abcdé \U0001f600") for _ in range(size - 1)) + "z"
+        near = []
+        for _ in range(8):
+            y = x
+            for _ in range(rng.randrange(7)):
+                y = edited(rng, y)
+            near.append(y)
+        lines += near
+    lines = sorted(set(lines))
+    rows = [(d, x) for d, x in enumerate(lines)]
+    want = []
+    for i, a in enumerate(lines):
+        for b in lines[i + 1 :]:
+            least = min(len(a), len(b))
+            base = 1 << (least.bit_length() - 1)
+            if least >= 30 and abs(len(a) - len(b)) <= 4 and edit_distance(a, b, 4) <= min(max(base // 64, 1), 4):
+                want.append({a, b})
+    assert any(len(min(p, key=len)) >= 256 and edit_distance(*p, 4) == 4 for p in want)
+    found = linededup.lines_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    names = {r.h: r.line for r in found.collect()}
+    links = [{names[r.a], names[r.b]} for r in linededup.edit_links(found, 30, 4).collect()]
+    assert sorted(map(sorted, links)) == sorted(map(sorted, want))
+
+
 # WARC
 
 

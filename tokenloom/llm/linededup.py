@@ -1,14 +1,15 @@
 """Operator 8: line dedup by a segment-partition edit join, in DataFrame operations only.
 
 Equal lines are one line, known by a hash. Lines of at least ``min_chars`` characters are also joined if
-one edit (insertion, deletion, substitution) turns one into the other. With a threshold of one edit a
-line is split into two segments, and a pair within the threshold agrees in all but one of them. The index
-has, for a line's length and each segment, the hash of the rest; a line probes the index of its own length
-with the same hashes, and that of lines one shorter with the segments behind the edit moved by one.
-
-A segment that very many lines share would make all their pairs. Such keys are refined: the segment
-that holds the edit is split again, into ``FINE`` parts, of which all but one agree, so that lines meet only if they
-differ in one small stretch. Candidates are verified on the whole lines by a banded bit-parallel edit distance.
+few edits (insertions, deletions, substitutions) turn one into the other: at most k, which grows with the shorter line's
+length. k + 1 segments of a line are indexed. At most k edits leave a segment i with i edits at most before it and k - i behind
+it, so the other line has its text at most i characters from its place as counted from the line's beginning, or k - i as counted from the end.
+Segments of the first half are counted from the beginning, the others from the end, and a line probes all those places. Where segments lie
+depends on the greatest power of two within the length, so that lengths need no probes of their own, but for lines so little longer
+than a power of two that the other may be below it.
+
+A segment that very many lines share would make all their pairs. Such keys are refined: of the halves of the other
+segments one agrees too. Candidates whose lengths differ by k at most are verified on the whole lines by a banded edit distance.
 """
 
 from __future__ import annotations
@@ -16,14 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import checkpointed
+from ._store import checkpointed, written
 from .components import components
 
-SEGMENTS = 2
-#: Parts into which the differing segment of a hot key is split.
-FINE = 8
+#: Characters of a line (by the greatest power of two within its length) for each edit; shorter lines may have one.
+CHARS_PER_EDIT = 64
 #: Keys with more pairs than this are refined.
-HOT_PAIRS = 64
+HOT_PAIRS = 4096
 #: Ids that are broadcast at most; beyond that a shuffled join gives the same rows.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -34,32 +34,55 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return lines.withColumn("h", F.xxhash64("line"))
 
 
-def _cuts(length: Column, begin: Column, parts: int) -> list[tuple[Column, Column]]:
-    """Start (from 0) and end of the ``parts`` stretches of ``length`` characters from ``begin``."""
-    return [(begin + F.floor(length * i / parts).cast("int"), begin + F.floor(length * (i + 1) / parts).cast("int")) for i in range(parts)]
+def _base(size: Column) -> Column:
+    """The greatest power of two that is at most ``size``."""
+    return F.pow(F.lit(2.0), F.length(F.bin(size)) - 1).cast("int")
 
 
-def _without(line: Column, size: Column, part: tuple[Column, Column], moved: int, tag: Column) -> Column:
-    """Hash of a line but for one stretch, of lines of ``size`` characters; what stands behind the stretch is ``moved``."""
-    begin, end = part
-    return F.xxhash64(tag, size, F.substring(line, F.lit(1), begin), F.substring(line, end + 1 + moved, F.length(line)))
+def edits_of(size: Column, max_edits: int) -> Column:
+    """The edits that lines may differ by, of which the shorter has ``size`` characters."""
+    return F.least(F.greatest(F.floor(_base(size) / CHARS_PER_EDIT).cast("int"), F.lit(1)), F.lit(max_edits))
 
 
-def _keys(line: Column, parts: int, begin: Column, end: Column, tag: Column, moved: int) -> list[Column]:
-    """The keys of a line for an edit in each of the parts of its stretch, as lines of ``moved`` characters fewer have it."""
-    size = F.length(line) - moved
-    return [_without(line, size, cut, moved, F.concat(tag, F.lit(f"/{i}"))) for i, cut in enumerate(_cuts(end - begin, begin, parts))]
+def _levels(max_edits: int) -> list[int]:
+    """The values that ``edits_of`` can have."""
+    return sorted({min(1 << i, max_edits) for i in range(max_edits.bit_length() + 1)})
 
 
-def _rows(keys: list[Column], probe: bool) -> Column:
-    return F.array(*[F.struct(k.alias("key"), F.lit(i).alias("part"), F.lit(probe).alias("probe")) for i, k in enumerate(keys)])
+def _key(line: Column, half: Column | None, tag: list[Column]) -> Column:
+    """Hash of the segment ``part``, or of a half of it, ``moved`` characters from its place; null where the line has none there."""
+    base, edits, part = F.col("base"), F.col("edits"), F.col("part")
+    width = F.floor(base / (edits + 1)).cast("int")
+    # Places behind the middle are counted from the end.
+    first = F.when(2 * part <= edits, width * part).otherwise(F.length(line) - width * (edits + 1 - part)) + F.col("moved")
+    cut = F.floor(width / 2).cast("int")
+    start = first if half is None else first + F.when(half == 0, 0).otherwise(cut)
+    taken = width if half is None else F.when(half == 0, cut).otherwise(width - cut)
+    return F.when((start >= 0) & (start + taken <= F.length(line)), F.xxhash64(*tag, base, part, F.substring(line, start + 1, taken)))
 
 
-def _pairs(keyed: DataFrame) -> DataFrame:
-    """Pairs ``a``, ``b`` of different lines under a key, one of which is indexed."""
-    index = keyed.where(~F.col("probe")).select("key", F.col("h").alias("a"))
-    other = keyed.select(F.col("key").alias("key2"), F.col("h").alias("b"), "probe")
-    found = index.join(other, (F.col("key") == F.col("key2")) & (F.col("a") != F.col("b")) & (F.col("probe") | (F.col("a") < F.col("b"))))
+def _chosen(lists: dict[int, list[tuple[int, ...]]], names: str) -> Column:
+    """Of lists of number tuples, as structs of the fields ``names``, that of the row's ``edits``."""
+    table = [F.when(F.col("edits") == edits, F.from_json(F.lit(str([dict(zip(names.split(), x, strict=True)) for x in rows]).replace("'", '"')), f"array<struct<{','.join(n + ':int' for n in names.split())}>>")) for edits, rows in lists.items()]
+    return F.explode(F.coalesce(*table))
+
+
+def _indexed_and_probed(edits: int) -> list[tuple[int, int]]:
+    """Segments, and how far from their places they are looked for."""
+    return [(part, moved) for part in range(edits + 1) for moved in range(-min(part, edits - part), min(part, edits - part) + 1)]
+
+
+def _halves(edits: int) -> list[tuple[int, int, int]]:
+    """Halves of segments, of which ``edits`` edits miss one at least, and how far from their places they are looked for."""
+    return [(part, half, moved) for part in range(edits + 1) for half in (0, 1) for moved in range(-edits, edits + 1)]
+
+
+def _pairs(keyed: DataFrame, max_edits: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of different lines under a key, one of which is indexed, of lengths that allow it."""
+    index = keyed.where(~F.col("probe")).select("key", F.col("h").alias("a"), F.col("size").alias("size_a"))
+    other = keyed.select(F.col("key").alias("key2"), F.col("h").alias("b"), F.col("size").alias("size_b"), "probe")
+    near = F.abs(F.col("size_a") - F.col("size_b")) <= max_edits
+    found = index.join(other, (F.col("key") == F.col("key2")) & (F.col("a") != F.col("b")) & near & (F.col("probe") | (F.col("a") < F.col("b"))))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -107,46 +130,62 @@ def within_one_edit(left: Column, right: Column) -> Column:
     return state.bitwiseAND(reached) > 0
 
 
-def edit_links(lines: DataFrame, min_chars: int) -> DataFrame:
-    """Pairs ``a``, ``b`` of hashes of different lines (``h``, ``line``) of at least ``min_chars`` characters within one edit."""
-    # A probe for lines one shorter can belong to a line one longer than the least.
+def within_edits(left: Column, right: Column, edits: int) -> Column:
+    """Whether at most ``edits`` edits turn one string into the other; null if one is null."""
+    return within_one_edit(left, right) if edits == 1 else F.levenshtein(left, right, edits) >= 0
+
+
+def edit_links(lines: DataFrame, min_chars: int, max_edits: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of hashes of different lines (``h``, ``line``) of at least ``min_chars`` characters within the edits that their lengths allow."""
     long = lines.where(F.length("line") >= min_chars)
-    zero, size, line = F.lit(0), F.length("line"), F.col("line")
-    each = F.concat(_rows(_keys(line, SEGMENTS, zero, size, F.lit(""), 0), False), _rows(_keys(line, SEGMENTS, zero, size - 1, F.lit(""), 1), True))
-    keyed = checkpointed(long.select("h", F.explode(each).alias("k")).select("h", "k.*").groupBy("key", "part", "probe", "h").agg(F.count(F.lit(1)).alias("copies")).drop("copies"))
+    size, line = F.length("line"), F.col("line")
+    base = _base(size)
+    lower = F.floor(base / 2).cast("int")
+    levels = _levels(max_edits)
+    own = F.struct(base.alias("base"), edits_of(size, max_edits).alias("edits"), F.lit(False).alias("below"))
+    less = F.struct(lower.alias("base"), edits_of(lower, max_edits).alias("edits"), F.lit(True).alias("below"))
+    sides = F.array_compact(F.array(own, F.when((size - edits_of(lower, max_edits) < base) & (size > min_chars), less)))
+    sided = long.select("h", "line", size.alias("size"), F.explode(sides).alias("s")).select("h", "line", "size", "s.*")
+    placed = sided.select("*", _chosen({e: _indexed_and_probed(e) for e in levels}, "part moved").alias("k")).select("*", "k.part", "k.moved")
+    keyed = placed.select("h", "size", "base", "edits", "part", (F.col("below") | (F.col("moved") != 0)).alias("probe"), _key(line, None, []).alias("key")).where("key is not null")
+    # The part, the bucket and the length are one number, as rows have a word for each column.
+    mark = F.col("size").cast("long") * 1024 + F.col("part") * 4 + F.when(F.col("base") < _base(F.col("size")), 2).otherwise(0) + F.col("probe").cast("int")
+    keyed = written(keyed.select("key", mark.alias("mark"), "h").groupBy("key", "mark", "h").agg(F.count(F.lit(1)).alias("copies")).drop("copies"))
+    bits = F.col("mark").bitwiseAND
+    keyed = keyed.select("key", "h", F.shiftright("mark", 10).cast("int").alias("size"), (bits(1) == 1).alias("probe"), "mark")
     met = checkpointed(_counted(keyed))
     open_keys = checkpointed(keyed.join(met, F.col("key") == F.col("met")).drop("met"))
-    pairs = _pairs(open_keys.where(F.col("pairs") <= HOT_PAIRS))
+    pairs = _pairs(open_keys.where(F.col("pairs") <= HOT_PAIRS), max_edits)
 
-    hot = checkpointed(open_keys.where(F.col("pairs") > HOT_PAIRS).select("key", "part", "probe", "h"))
+    hot = checkpointed(open_keys.where(F.col("pairs") > HOT_PAIRS).drop("pairs"))
     texts = _some(long, hot.select(F.col("h").alias("id"))).withColumnRenamed("h", "id")
-    wide = hot.join(texts, F.col("h") == F.col("id"))
-    finer = []
-    for probe in (False, True):
-        moved = int(probe)
-        for part in range(SEGMENTS):
-            begin, end = _cuts(size - moved, zero, SEGMENTS)[part]
-            keys = _keys(line, FINE, begin, end, F.concat(F.col("key").cast("string"), F.lit(f":{part}")), moved)
-            finer.append(F.when((F.col("probe") == probe) & (F.col("part") == part), _rows(keys, probe)))
-    fine = checkpointed(wide.select("h", F.explode(F.coalesce(*finer)).alias("k")).select("h", "k.key", "k.probe").distinct())
+    own = _base(F.col("size"))
+    hot = hot.withColumn("base", F.when(bits(2) == 2, F.floor(own / 2).cast("int")).otherwise(own)).withColumn("edits", edits_of(F.col("base"), max_edits))
+    wide = hot.withColumn("part", F.shiftright(bits(1023), 2).cast("int")).join(texts, F.col("h") == F.col("id"))
+    halves = wide.withColumnsRenamed({"part": "shared", "key": "within", "probe": "probes"})
+    halves = halves.select("*", _chosen({e: _halves(e) for e in levels}, "part half moved").alias("k")).select("*", "k.part", "k.half", "k.moved").where("part <> shared")
+    fine = halves.select("h", "size", _key(line, F.col("half"), [F.col("within"), F.col("half")]).alias("key"), (F.col("probes") | (F.col("moved") != 0)).alias("probe")).where("key is not null")
+    fine = checkpointed(fine.distinct())
     fine_met = checkpointed(_counted(fine))
-    refined = _pairs(fine.join(fine_met, F.col("key") == F.col("met")).select("key", "probe", "h"))
+    refined = _pairs(fine.join(fine_met, F.col("key") == F.col("met")).select("key", "probe", "h", "size"), max_edits)
 
     found = checkpointed(pairs.union(refined).distinct())
     texts = _some(long, found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))))
     left, right = (texts.select(F.col("h").alias(n), F.col("line").alias(f"line_{n}")) for n in "ab")
-    return found.join(left, "a").join(right, "b").where(within_one_edit(F.col("line_a"), F.col("line_b"))).select("a", "b")
+    allowed = edits_of(F.least(F.length("line_a"), F.length("line_b")), max_edits)
+    near = F.coalesce(*[F.when(allowed == edits, within_edits(F.col("line_a"), F.col("line_b"), edits)) for edits in levels])
+    return found.join(left, "a").join(right, "b").where(near).select("a", "b")
 
 
-def line_classes(docs: DataFrame, *, min_chars: int = 30) -> tuple[DataFrame, DataFrame]:
-    """Lines that occur again, exactly or within one edit, and the links between different lines.
+def line_classes(docs: DataFrame, *, min_chars: int = 30, max_edits: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Lines that occur again, exactly or within a few edits, and the links between different lines.
 
     The first: ``h``, ``line_class`` (the smallest hash of the class), ``first`` (``doc_id`` and ``place`` of the class's first line), ``n`` (its lines).
     ``docs``: ``doc_id`` (long), ``text``.
     """
     lines = lines_of(docs)
     distinct = checkpointed(lines.groupBy("h").agg(F.min(F.struct("doc_id", "place")).alias("own"), F.count(F.lit(1)).alias("n")))
-    links = checkpointed(edit_links(lines, min_chars))
+    links = checkpointed(edit_links(lines, min_chars, max_edits))
     joined = components(links)
     placed = distinct.join(joined, F.col("h") == F.col("node"), "left").where("n > 1 or node is not null").withColumn("line_class", F.coalesce("component", "h"))
     placed = checkpointed(placed.select("h", "own", "n", "line_class"))
@@ -154,19 +193,20 @@ def line_classes(docs: DataFrame, *, min_chars: int = 30) -> tuple[DataFrame, Da
     return checkpointed(placed.join(classes, F.col("line_class") == F.col("c")).select("h", "line_class", "first", "own")), links
 
 
-def dedup_lines(docs: DataFrame, *, min_chars: int = 30) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_chars: int = 30, max_edits: int = 4) -> DataFrame:
     """All rows and columns of ``docs`` (``doc_id``, ``text``) with the lines removed that repeat an earlier line of the corpus, and counts.
 
     Lines are separated by ``\\n``; those without a word always stay. Of a class of lines that are equal or, from ``min_chars``
-    characters on, linked by single edits, the first by ``doc_id`` and place stays. Columns added, in place of any of
+    characters on, linked by few edits, the first by ``doc_id`` and place stays. Columns added, in place of any of
     that name: ``n_lines`` (with a word), ``n_removed``, ``n_near`` (removed, and different from the line that
-    stays), ``n_links`` (single-edit links of the document's different lines). A null text stays null; a null id's
+    stays), ``n_links`` (links of the document's different lines). Linked lines differ by one edit at most, or by one for each
+    ``CHARS_PER_EDIT`` characters of the greatest power of two within the shorter one's length, but by no more than ``max_edits``. A null text stays null; a null id's
     lines are compared with nothing and stay; rows of one id are one document, so a repeated row keeps and loses the same lines; a text can become empty; an empty table gives no rows.
     """
     added = ("n_lines", "n_removed", "n_near", "n_links")
     kept = docs.drop(*added)
     source = kept.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    classes, links = line_classes(source, min_chars=min_chars)
+    classes, links = line_classes(source, min_chars=min_chars, max_edits=max_edits)
     both = links.select("a").union(links.select(F.col("b").alias("a")))
     degrees = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("links")))
     known = checkpointed(classes.join(degrees, F.col("h") == F.col("node"), "left").select(F.col("h").alias("known"), "first", "own", F.coalesce("links", F.lit(0)).alias("links")))
