@@ -359,7 +359,7 @@ def test_line_dedup_equals_brute_force(spark):
         gone = {p: line for e, p, line in lines if e == d and stays[root(line)] != (d, p)}
         own = {line for e, _, line in lines if e == d}
         text = None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone)
-        want.append((d, text, sum(e == d for e, _, _ in lines), len(gone), sum(first[x] != stays[root(x)] for x in gone.values()), sum(links[x] for x in own)))
+        want.append((d, text, sum(e == d for e, _, _ in lines), len(gone), sum(first[x] != stays[root(x)] for x in gone.values()), sum(links[x] > 0 for x in own)))
     found = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert by_row(found.collect()) == by_row(want)
 
@@ -373,9 +373,22 @@ def test_band_equals_edit_distance(spark):
         for _ in range(rng.randrange(4)):
             y = edited(rng, y) if y else rng.choice("abé")
         pairs.append((x, y))
-    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", linededup.within_one_edit(F.col("a"), F.col("b")), (F.levenshtein("a", "b") <= 1)).collect()
-    assert len(rows) == len(pairs) and [r for r in rows if r[2] != r[3]] == []
-    assert all(r[2] is None for r in rows if r.a is None or r.b is None)
+    found = spark.createDataFrame(pairs, "a string, b string")
+    for k in (1, 2, 3, 4):
+        rows = found.select("a", "b", linededup.within_edits(F.col("a"), F.col("b"), k), F.levenshtein("a", "b") <= k).collect()
+        assert len(rows) == len(pairs) and [r for r in rows if r[2] != r[3]] == []
+        assert all(r[2] is None for r in rows if r.a is None or r.b is None)
+
+
+def test_differences_of_counts(spark):
+    rng = random.Random(29)
+    pairs = [tuple("".join(rng.choice("etaoé 09x") for _ in range(rng.randrange(30))) for _ in "ab") for _ in range(500)]
+    found = spark.createDataFrame(pairs, "a string, b string")
+    for characters in linededup.COUNTED:
+        for r in found.select("a", "b", *linededup._gains(*[linededup._counts(F.col(c), characters) for c in "ab"])).collect():
+            more = [r.a.count(c) - r.b.count(c) for c in characters]
+            if max(map(abs, more)) < 8:
+                assert (r[2], r[3]) == (sum(x for x in more if x > 0), -sum(x for x in more if x < 0))
 
 
 def edit_distance(a, b, most):
@@ -391,9 +404,26 @@ def edit_distance(a, b, most):
     return min(row.get(len(b), most + 1), most + 1)
 
 
-@pytest.mark.parametrize("hot", [0, 4096])
-def test_long_lines_may_differ_by_more_edits(spark, monkeypatch, hot):
+def grouped(links, nodes):
+    top = {x: x for x in nodes}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in links:
+        top[root(a)] = root(b)
+    out = collections.defaultdict(set)
+    for x in nodes:
+        out[root(x)].add(x)
+    return sorted(sorted(g) for g in out.values())
+
+
+@pytest.mark.parametrize(("hot", "block", "edits"), [(0, 3, 4), (4096, 4096, 4), (0, 4096, 3), (4096, 4096, 2)])
+def test_long_lines_may_differ_by_more_edits(spark, monkeypatch, hot, block, edits):
     monkeypatch.setattr(linededup, "HOT_PAIRS", hot)
+    monkeypatch.setattr(linededup, "BLOCK", block)
     rng = random.Random(23)
     lines = []
     for size in (31, 33, 62, 66, 127, 129, 140, 254, 258, 300, 513):
@@ -412,13 +442,42 @@ def test_long_lines_may_differ_by_more_edits(spark, monkeypatch, hot):
         for b in lines[i + 1 :]:
             least = min(len(a), len(b))
             base = 1 << (least.bit_length() - 1)
-            if least >= 30 and abs(len(a) - len(b)) <= 4 and edit_distance(a, b, 4) <= min(max(base // 64, 1), 4):
+            if least >= 30 and abs(len(a) - len(b)) <= edits and edit_distance(a, b, edits) <= min(max(base // 64, 1), edits):
                 want.append({a, b})
-    assert any(len(min(p, key=len)) >= 256 and edit_distance(*p, 4) == 4 for p in want)
+    assert any(len(min(p, key=len)) >= 256 and edit_distance(*p, edits) == edits for p in want)
     found = linededup.lines_of(spark.createDataFrame(rows, "doc_id long, text string"))
     names = {r.h: r.line for r in found.collect()}
-    links = [{names[r.a], names[r.b]} for r in linededup.edit_links(found, 30, 4).collect()]
-    assert sorted(map(sorted, links)) == sorted(map(sorted, want))
+    links = [{names[r.a], names[r.b]} for r in linededup.edit_links(found, 30, edits).collect()]
+    assert all(x in want for x in links)
+    if hot:
+        assert sorted(map(sorted, links)) == sorted(map(sorted, want))
+    assert grouped(map(sorted, links), lines) == grouped(map(sorted, want), lines)
+
+
+def test_numbered_lines_are_not_paired_one_with_all(spark, monkeypatch):
+    made = []
+    pairs = linededup._pairs
+    monkeypatch.setattr(linededup, "_pairs", lambda *a, **k: made.append(pairs(*a, **k)) or made[-1])
+    numbers = random.Random(3).sample(range(10**6), 3000)
+    lines = [f"the number of this line of many is {n:06}." for n in numbers]
+    found = linededup.lines_of(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    names = {r.h: r.line for r in found.collect()}
+    links = [sorted((names[r.a], names[r.b])) for r in linededup.edit_links(found, 30, 4).collect()]
+    near = collections.defaultdict(set)
+    for x in lines:
+        for i in range(35, 41):
+            near[x[:i] + "?" + x[i + 1 :]].add(x)
+    want = [(a, b) for g in near.values() for a in g for b in g if a < b]
+    assert {tuple(x) for x in links} <= set(want) and grouped(links, lines) == grouped(want, lines)
+    assert sum(m.count() for m in made) < 30 * len(lines)
+
+
+def test_line_dedup_keeps_any_columns(spark):
+    rows = [(1, f"{BASE}\nx", 7, "a", 1.0, 2), (2, BASE, 8, "b", 2.0, 3), (None, BASE, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, removed_places long, `a.b` string, removed_from double, h long")
+    found = linededup.dedup_lines(docs)
+    assert found.columns[:6] == docs.columns
+    assert by_row(found.drop("n_lines", "n_removed", "n_near", "n_joined").collect()) == by_row([rows[0], (2, "", 8, "b", 2.0, 3), rows[2]])
 
 
 # WARC

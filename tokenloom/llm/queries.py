@@ -46,7 +46,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.dedup_lines(_table(spark, sf_dir, "documents"))
-    return done.select("doc_id", "n_lines", "n_removed", "n_near", "n_links", F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2("text", 256).alias("kept_sha256"))
+    return done.select("doc_id", "n_lines", "n_removed", "n_near", "n_joined", F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
