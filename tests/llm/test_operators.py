@@ -132,7 +132,11 @@ def test_bad_hosts_lose_their_documents(spark):
 # Repeated substrings
 
 
-def test_repeated_strings_equal_brute_force(spark):
+@pytest.mark.parametrize(("limit", "rows"), [(4000, 2_000_000), (2, 0)])
+def test_repeated_strings_equal_brute_force(spark, monkeypatch, limit, rows):
+    monkeypatch.setattr(suffix_dedup, "LIMIT", limit)
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", limit)
+    monkeypatch.setattr(suffix_dedup, "MAX_BROADCAST_ROWS", rows)
     rng = random.Random(2)
     source = "".join(rng.choices("abcdef é\n", k=6000))
     texts = []
@@ -144,15 +148,24 @@ def test_repeated_strings_equal_brute_force(spark):
         texts.append("".join(rng.choices("xyz", k=rng.randrange(50))) + t + str(j))
     texts += ["ab" * 1000, "a" * 401, "z" * 400, "z" * 399, None, "", "q" * 200 + "w" * 200, "q" * 200 + "w" * 200, texts[0]]
     raws = [(t or "").encode() for t in texts]
-    seen = collections.Counter(r[i : i + 400] for r in raws for i in range(len(r) - 399))
+    shared = "".join(rng.choices("uvw", k=700))
+    raws += [("".join(rng.choices("xyz", k=300)) + shared[rng.randrange(40) : rng.randrange(660, 700)] + "".join(rng.choices("xyz", k=300))).encode() for _ in range(12)]
+    texts += [r.decode() for r in raws[len(texts) :]]
+
+    def covered(r, size, seen={}):
+        if size not in seen:
+            seen[size] = collections.Counter(r[i : i + size] for r in raws for i in range(len(r) - size + 1))
+        out = bytearray(len(r))
+        for i in range(len(r) - size + 1):
+            if seen[size][r[i : i + size]] > 1:
+                out[i : i + size] = b"\1" * size
+        return out
+
     want = []
     for d, r in enumerate(raws):
-        gone = bytearray(len(r))
-        for i in range(len(r) - 399):
-            if seen[r[i : i + 400]] > 1:
-                gone[i : i + 400] = b"\1" * 400
+        gone = covered(r, 400)
         kept = bytes(x for x, g in zip(r, gone, strict=True) if not g)
-        want.append((d, len(r), sum(gone), sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1])), hashlib.sha256(kept).hexdigest()))
+        want.append((d, len(r), sum(gone), sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1])), hashlib.sha256(kept).hexdigest(), sum(covered(r, 256))))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert by_row(suffix_dedup.remove_repeats(df).collect()) == by_row(want)
 

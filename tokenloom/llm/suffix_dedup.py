@@ -1,27 +1,31 @@
 """Operator 3: removal of repeated substrings by column-wise construction of the suffix order of many strings.
 
-A byte goes if it lies in a string of ``WIDTH`` bytes that also starts elsewhere in the collection. Building the suffix order of
-whole documents one symbol a round would take as many rounds, each over all data, as the longest document has bytes. So the
-construction is applied to short strings of one length that line up, after two steps that find them:
+A byte goes if it lies in a string of ``WIDTH`` bytes that also starts elsewhere in the collection; bytes in shorter ones, of ``MARK`` bytes, are
+counted. Building the suffix order of whole documents one symbol a round would take as many rounds, each over all data, as the longest
+document has bytes. So the construction is applied to short strings of one length that line up, after two steps that find them:
 
-1. Winnowing picks anchors, the least hash of ``GRAM`` bytes in each run of ``WIDTH`` bytes. Equal strings of ``WIDTH``
+1. Winnowing picks anchors, the least hash of ``GRAM`` bytes in each run of ``MARK`` bytes. Equal strings of ``MARK``
    bytes have the same anchor at the same place, so a repeated string is found among the occurrences of one anchor.
    An anchor's context is the bytes that such strings can reach, ``BEFORE`` before it and ``WIDTH`` from it on.
-2. Occurrences whose anchor is unique are settled, and so are those with equal contexts. What is left is one
+2. Occurrences whose anchor is unique are settled, and equal contexts of an anchor are one, with a count. What is left is one
    context of each kind of the anchors that have several.
-
 3. For these the collection is built by columns, from the last to the first: each round inserts one symbol of every
    context in front, which keeps the suffixes ordered by one stable sort by symbol (the column is the Burrows-Wheeler
    transform's next symbols), and updates the common prefixes of neighbours from the last round's. Where
-   neighbours have ``WIDTH`` bytes in common, a string that starts in this column is repeated. Columns are stored one after another,
-   in a temporary file beyond ``MEMORY_BYTES``, and each is read once.
+   neighbours have ``WIDTH`` or ``MARK`` bytes in common, such a string that starts in this column is repeated. Columns are stored
+   one after another, and each is read once.
+
+A collection has ``LIMIT`` strings of a group at most, so it needs neither files nor much memory. An anchor of more kinds is divided: strings that start in a range
+of columns have the bytes in common that all of them reach, which for the whole range is the anchor, and more for a part of it. So a group's
+range is cut into parts, a part's strings are grouped by those bytes, and equal ones are one again, down to a range of a
+single start, where the groups themselves tell what is repeated.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +35,17 @@ from pyspark.sql import functions as F
 from ._store import written
 from ._text import blocks, mix64
 
-WIDTH, GRAM = 400, 32
+WIDTH, MARK, GRAM = 400, 256, 32
 #: Positions at which the anchor of a string can stand in it; bytes of a context before the anchor.
-REACH = WIDTH - GRAM + 1
+REACH = MARK - GRAM + 1
 BEFORE = REACH - 1
-SPAN = BEFORE + WIDTH
+#: Starts that are in one range, level by level; each is a multiple of the next.
+RANGES = (REACH, 45, 9, 1)
 #: Bytes that are winnowed at a time; positions in them take at most 24 bits of a sort key.
 SECTION = 1 << 20
-#: Contexts that are built together; an anchor's contexts always are.
-TOGETHER = 10_000
-#: Larger collections keep their columns in a file.
-MEMORY_BYTES = 128 << 20
+#: Strings of a group that are built in one collection; a group of more is divided. Strings that are gathered for a collection of several groups.
+LIMIT, TOGETHER = 4_000, 10_000
+#: Rows (about 30 bytes each) that are broadcast at most; beyond that a shuffled join gives the same rows.
 MAX_BROADCAST_ROWS = 2_000_000
 
 _RANDOM = np.random.default_rng(400)
@@ -98,14 +102,14 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray,
     short = [i for i, t in enumerate(texts) if len(t) <= SECTION]
     sizes = np.array([len(texts[i]) for i in short], np.int64)
     first = np.concatenate([[0], np.cumsum(sizes)])
-    some = np.flatnonzero(sizes >= WIDTH)
-    counts = sizes[some] - WIDTH + 1
+    some = np.flatnonzero(sizes >= MARK)
+    counts = sizes[some] - MARK + 1
     starts = np.arange(int(counts.sum())) + np.repeat(first[some] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) if len(some) else np.zeros(0, np.int64)
     yield b"".join(texts[i] for i in short), starts, np.array(short, np.int64), first[:-1], sizes
     for i, text in enumerate(texts):
         for begin in range(0, len(text) if len(text) > SECTION else 0, SECTION):
             low = max(0, begin - BEFORE)
-            starts = np.arange(begin, min(begin + SECTION, len(text) - WIDTH + 1)) - low
+            starts = np.arange(begin, max(begin, min(begin + SECTION, len(text) - MARK + 1))) - low
             yield text[low : begin + SECTION + 2 * WIDTH], starts, np.array([i]), np.array([-low]), np.array([len(text)])
 
 
@@ -135,14 +139,14 @@ def anchored(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, context long, doc long, n int, pos int")
 
 
-def repeated_windows(columns: np.ndarray, groups: np.ndarray) -> np.ndarray:
-    """Which strings of ``WIDTH`` symbols that start in a column another string of the same group has at the same place.
+def repeated_windows(columns: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which strings of ``WIDTH``, and of ``MARK``, symbols that start in a column another string of the same group has at the same place.
 
-    ``columns``: symbols by column and string, 256 where a string has none; ``groups``: sorted. The result has a row
-    for each column at which such a string can start. One column is inserted a round, the last first.
+    ``columns``: symbols by column and string, 256 where a string has none; ``groups``: sorted. The results have a row
+    for each column at which a string of ``WIDTH`` can start. One column is inserted a round, the last first.
     """
     width, m = columns.shape
-    out = np.zeros((width - WIDTH + 1, m), bool)
+    out = [np.zeros((width - WIDTH + 1, m), bool) for _ in range(2)]
     order = np.arange(m)
     common = np.zeros(m, np.int32)  # of each suffix and the one before it
     base = groups.astype(np.int64) * 512
@@ -159,122 +163,191 @@ def repeated_windows(columns: np.ndarray, groups: np.ndarray) -> np.ndarray:
         fresh[1:] = np.where(joined[1:], np.minimum(least[:-1] + 1, WIDTH), 0)
         order, common = order[place], fresh
         if column <= width - WIDTH:
-            found = np.flatnonzero(common >= WIDTH)
-            out[column, order[found]] = True
-            out[column, order[found - 1]] = True
-    return out
+            for k, size in enumerate((WIDTH, MARK)):
+                found = np.flatnonzero(common >= size)
+                out[k][column, order[found]] = True
+                out[k][column, order[found - 1]] = True
+    return out[0], out[1]
+
+
+def _runs(starts: np.ndarray, size: int) -> np.ndarray:
+    """Begins and ends, in turn, of what strings of ``size`` at these places cover."""
+    if not len(starts):
+        return np.zeros(0, np.int32)
+    gap = np.flatnonzero(np.diff(starts) > size)
+    return np.column_stack([starts[np.append(0, gap + 1)], starts[np.append(gap, len(starts) - 1)] + size]).reshape(-1).astype(np.int32)
 
 
-def settled(contexts: DataFrame) -> DataFrame:
-    """``anchor``, ``context`` and ``spans`` (covered bytes, from the anchor on) of contexts (``anchor``, ``context``, ``left``, ``bytes``) that others of their anchor partly repeat."""
+def settled(pieces: DataFrame, size: int) -> DataFrame:
+    """``group``, ``piece``, ``gone`` and ``seen`` (begins and ends of bytes in repeated strings of ``WIDTH`` and ``MARK``, from the anchor on) of pieces (``group``, ``piece``, ``a``, ``skip``, ``bytes``).
 
-    def built(rows: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        rows = [r for i, r in enumerate(rows) if i == 0 or r[:2] != rows[i - 1][:2]]
+    A piece starts at ``a`` of its context, lacks ``skip`` bytes in front, and holds the strings of ``size`` starts.
+    """
+    names = ["group", "piece", "gone", "seen"]
+
+    def built(rows: list[tuple[int, int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
         groups = np.unique([r[0] for r in rows], return_inverse=True)[1].reshape(-1)
-        order = np.argsort(groups, kind="stable")
-        shape = (SPAN, len(rows))
-        with tempfile.TemporaryFile() as spool:
-            columns = np.memmap(spool, np.uint16, "w+", shape=shape) if 2 * SPAN * len(rows) > MEMORY_BYTES else np.empty(shape, np.uint16)
-            for begin in range(0, len(rows), 4096):
-                part = np.full((min(4096, len(rows) - begin), SPAN), 256, np.uint16)
-                for k, i in enumerate(order[begin : begin + 4096]):
-                    left, raw = rows[i][2:]
-                    part[k, BEFORE - left : BEFORE - left + len(raw)] = np.frombuffer(raw, np.uint8)
-                columns[:, begin : begin + len(part)] = part.T
-            found = repeated_windows(columns, groups[order])
-            del columns
+        columns = np.empty((size - 1 + WIDTH, len(rows)), np.uint16)
+        for begin in range(0, len(rows), 4096):
+            part = np.full((min(4096, len(rows) - begin), len(columns)), 256, np.uint16)
+            for k, (_, _, _, skip, raw) in enumerate(rows[begin : begin + 4096]):
+                part[k, skip : skip + len(raw)] = np.frombuffer(raw, np.uint8)
+            columns[:, begin : begin + len(part)] = part.T
+        found = repeated_windows(columns, groups)
         out = []
-        for k in np.flatnonzero(found.any(axis=0)):
-            at = np.flatnonzero(found[:, k]) - BEFORE
-            gap = np.flatnonzero(np.diff(at) > WIDTH)
-            begins, ends = at[np.append(0, gap + 1)], at[np.append(gap, len(at) - 1)] + WIDTH
-            out.append((rows[order[k]][0], rows[order[k]][1], np.column_stack([begins, ends]).reshape(-1).astype(np.int32)))
+        for k in np.flatnonzero(found[1].any(axis=0)):
+            first = rows[k][2] - BEFORE
+            out.append((*rows[k][:2], *[_runs(np.flatnonzero(f[:, k]) + first, n) for f, n in zip(found, (WIDTH, MARK), strict=True)]))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int32()))], ["anchor", "context", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())], strict=True)], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes]] = []
+        held: list[tuple[int, int, int, int, bytes]] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "context", "left", "bytes")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("group", "piece", "a", "skip", "bytes")), strict=True):
+                if held and row[:2] == held[-1][:2]:
+                    continue
                 if len(held) >= TOGETHER and row[0] != held[-1][0]:
+                    # Ordered by group's hash as signed, which is the order of np.unique too.
                     yield from built(held)
                     held = []
                 held.append(row)
         if held:
             yield from built(held)
 
-    return contexts.repartition("anchor").sortWithinPartitions("anchor", "context").mapInArrow(run, "anchor long, context long, spans array<int>")
+    return pieces.repartition("group").sortWithinPartitions("group", "piece").mapInArrow(run, "group long, piece long, gone array<int>, seen array<int>")
 
 
-def contexts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """The bytes of contexts ``wanted`` (``anchor``, ``context``, ``doc``, ``n``, ``pos``)."""
-    by_doc = written(wanted.groupBy("doc", "n").agg(F.collect_list(F.struct("pos", "anchor", "context")).alias("places")))
-    if wanted.count() <= MAX_BROADCAST_ROWS:
+def _over_texts(rows: DataFrame, docs: DataFrame, each: Callable[[bytes, dict], Iterable[tuple]], schema: str) -> DataFrame:
+    """What ``each`` makes of the text and every row of ``rows`` (``doc``, ``n``, ``pos``, more); equal texts of a task are one."""
+    by_doc = written(rows.groupBy("doc", "n").agg(F.collect_list(F.struct(*[c for c in rows.columns if c not in ("doc", "n")])).alias("places")))
+    if rows.count() <= MAX_BROADCAST_ROWS:
         by_doc = F.broadcast(by_doc)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[tuple[int, int]] = set()
         for batch in batches:
-            for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
+            for doc, n, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc", "n", "text", "places")), strict=True):
+                if (doc, n) in met:
+                    continue
+                met.add((doc, n))
                 raw = text.encode("utf-8", "surrogatepass")
-                left = [min(p["pos"], BEFORE) for p in places]
-                parts = [raw[p["pos"] - a : p["pos"] + WIDTH] for p, a in zip(places, left, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([p["anchor"] for p in places], pa.int64()), pa.array([p["context"] for p in places], pa.int64()), pa.array(left, pa.int32()), pa.array(parts, pa.binary())], ["anchor", "context", "left", "bytes"])
-
-    found = docs.withColumn("n", F.octet_length("text")).join(by_doc, ["doc", "n"]).select("text", "places")
-    return found.mapInArrow(run, "anchor long, context long, left int, bytes binary")
+                out = [x for p in places for x in each(raw, p | {"doc": doc, "n": n})]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    names = [part.split()[0] for part in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[part.split()[1]] for part in schema.split(", ")]
+    found = docs.withColumn("n", F.octet_length("text")).join(by_doc, ["doc", "n"]).select("doc", "n", "text", "places")
+    return found.mapInArrow(run, schema)
+
+
+def _piece(raw: bytes, pos: int, a: int, size: int) -> tuple[int, bytes]:
+    """The bytes that strings of ``size`` starts from ``a`` on reach, and how many are missing in front."""
+    begin, end = pos - BEFORE + a, min(pos - BEFORE + a + size - 1 + WIDTH, pos + WIDTH)
+    return max(0, -begin), raw[max(0, begin) : max(0, end)]
+
+
+def bytes_of(pieces: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """``group``, ``piece``, ``a``, ``skip``, ``bytes`` of pieces (``group``, ``piece``, ``a``, ``doc``, ``n``, ``pos``) of ``size`` starts."""
+
+    def each(raw: bytes, p: dict) -> Iterator[tuple]:
+        yield (p["group"], p["piece"], p["a"], *_piece(raw, p["pos"], p["a"], size))
+
+    return _over_texts(pieces.select("group", "piece", "a", "doc", "n", "pos"), docs, each, "group long, piece long, a int, skip int, bytes binary")
+
+
+def _hash(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
+
+
+def divided(rows: DataFrame, docs: DataFrame, size: int, part: int) -> DataFrame:
+    """``rows`` (``anchor``, ``context``, ``times``, ``a``, ``doc``, ``n``, ``pos``) of ``size`` starts cut into ranges of ``part`` starts, with ``group`` and ``piece``."""
+
+    def each(raw: bytes, p: dict) -> Iterator[tuple]:
+        pos = p["pos"]
+        for a in range(p["a"], p["a"] + size, part):
+            first, last = max(pos - BEFORE + a, 0), min(pos - BEFORE + a + part - 1, len(raw) - MARK)
+            if first <= last:
+                inner = raw[pos - BEFORE + a + part - 1 : pos - BEFORE + a + MARK]
+                skip, piece = _piece(raw, pos, a, part)
+                yield (_hash(p["anchor"].to_bytes(8, "little", signed=True), bytes([a]), inner), _hash(skip.to_bytes(2, "little"), piece), p["anchor"], p["context"], p["times"], a, p["doc"], p["n"], pos)
+
+    return _over_texts(rows.select("anchor", "context", "times", "a", "doc", "n", "pos"), docs, each, "group long, piece long, anchor long, context long, times long, a int, doc long, n int, pos int").dropDuplicates(["anchor", "context", "a"])
+
+
+def repeats(kinds: DataFrame, docs: DataFrame) -> DataFrame:
+    """``anchor``, ``context``, ``gone``, ``seen`` (begins and ends from the anchor on) of contexts (``anchor``, ``context``, ``times``, ``doc``, ``n``, ``pos``) in which a string is repeated; a context can have several rows."""
+    members = kinds.select(F.col("anchor").alias("group"), F.col("context").alias("piece"), "anchor", "context", "times", F.lit(0).alias("a"), "doc", "n", "pos")
+    out = []
+    for level, size in enumerate(RANGES):
+        # At first every context is a piece of its own.
+        pieces = members
+        if level:
+            pieces = written(members.groupBy("group", "piece").agg(F.sum("times").alias("times"), F.min(F.struct("doc", "n", "pos", "a")).alias("at")).select("group", "piece", "times", "at.*"))
+        several = written(pieces.groupBy(F.col("group").alias("open")).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
+        begin = F.greatest(F.col("a") - BEFORE, -F.col("pos"))
+        end = F.least(F.col("a") - BEFORE + (size - 1 + WIDTH), F.lit(WIDTH), F.col("n") - F.col("pos"))
+        nothing = F.array().cast("array<int>")
+        all_of = lambda n: F.when(end - begin >= n, F.array(begin, end).cast("array<int>")).otherwise(nothing)  # noqa: B023, E731
+        found = pieces.where("times > 1").select("group", "piece", all_of(WIDTH).alias("gone"), all_of(MARK).alias("seen"))
+        compared = written(pieces.join(several, F.col("group") == F.col("open")).drop("open"))
+        if size == 1:
+            found = found.union(compared.select("group", "piece", nothing, F.array(begin, begin + MARK).cast("array<int>")))
+        else:
+            found = found.union(settled(bytes_of(compared.where(F.col("kinds") <= LIMIT), docs, size), size))
+        if level:
+            found = members.select("group", "piece", "anchor", "context").join(found, ["group", "piece"])
+        else:
+            found = found.withColumnsRenamed({"group": "anchor", "piece": "context"})
+        out.append(written(found.select("anchor", "context", "gone", "seen")))
+        many = compared.where(F.col("kinds") > LIMIT)
+        if size == 1 or many.isEmpty():
+            break
+        if level:
+            many = members.join(many.select("group", "piece"), ["group", "piece"], "left_semi")
+        members = written(divided(many, docs, size, RANGES[level + 1]))
+    return reduce(DataFrame.union, out)
 
 
 def remove_repeats(docs: DataFrame, *, with_kept: bool = False) -> DataFrame:
-    """One row per document (``doc_id``, ``text``; other columns are ignored): ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs), ``kept_sha256`` and, with ``with_kept``, the bytes ``kept``.
+    """One row per document (``doc_id``, ``text``; other columns are ignored): ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs), ``kept_sha256``, ``n_repeated`` and, with ``with_kept``, the bytes ``kept``.
 
-    Strings of 400 bytes are judged on the whole input; one that occurs twice goes at both places, in one document or two.
+    Strings of 400 bytes are judged on the whole input; one that occurs twice goes at both places, in one document or two. ``n_repeated``: bytes in
+    strings of 256 bytes that also start elsewhere, so passages of some 50 words count there that are too short to go.
     Null texts are empty, and texts under 400 bytes stay whole; rows with equal texts repeat each other, whatever their ids;
-    a null id stays null; an empty table gives no rows.
+    a null id stays null; an empty table gives no rows. Contexts of an anchor are known by 64-bit hashes, texts by such a hash and their size.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("doc", F.xxhash64("text"))
     every = written(anchored(source.select("doc", "text")))
     # Equal texts give equal rows here, and a pre-aggregated one for each task.
-    kinds = written(every.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "n", "pos")).alias("at")))
-    several = written(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(F.col("anchor").alias("open")))
-    # A context that occurs again is covered whole, but others of its anchor are compared with it.
-    wanted = written(kinds.join(several, F.col("anchor") == F.col("open"), "left_semi").select("anchor", "context", "times", "at.*"))
-    partly = settled(contexts_of(wanted.drop("times"), source))
-    partly = written(partly.join(kinds.where("times > 1").select("anchor", "context"), ["anchor", "context"], "left_anti"))
-    whole = kinds.where("times > 1").select("anchor", "context", F.lit(None).cast("array<int>").alias("spans"))
-    covered = written(whole.unionByName(partly).withColumnsRenamed({"anchor": "a", "context": "c"}))
-    marks = every.join(covered, (F.col("anchor") == F.col("a")) & (F.col("context") == F.col("c"))).select("doc", "n", "pos", "spans").distinct()
-    by_doc = written(marks.groupBy("doc", "n").agg(F.collect_list(F.struct("pos", "spans")).alias("marks")).withColumnsRenamed({"doc": "d", "n": "m"}))
+    kinds = written(every.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "n", "pos")).alias("at")).select("anchor", "context", "times", "at.*"))
+    covered = repeats(kinds, source).withColumnsRenamed({"anchor": "anchor_c", "context": "context_c"})
+    marks = every.join(covered, (F.col("anchor") == F.col("anchor_c")) & (F.col("context") == F.col("context_c"))).select("doc", "n", "pos", "gone", "seen").distinct()
+    by_doc = written(marks.groupBy("doc", "n").agg(F.collect_list(F.struct("pos", "gone", "seen")).alias("marks")).withColumnsRenamed({"doc": "d", "n": "m"}))
+
+    def merged(marks: list[dict] | None, name: str) -> list[tuple[int, int]]:
+        out: list[list[int]] = []
+        for begin, end in sorted((m["pos"] + x, m["pos"] + y) for m in marks or [] for x, y in zip(m[name][0::2], m[name][1::2], strict=True)):
+            if out and begin <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], end)
+            else:
+                out.append([begin, end])
+        return out
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for key, text, marks in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                pairs = []
-                for mark in marks or []:
-                    p, spans = mark["pos"], mark["spans"]
-                    if spans is None:
-                        begin, end = max(p - BEFORE, 0), min(p + WIDTH, len(raw))
-                        pairs += [(begin, end)] if end - begin >= WIDTH else []
-                    else:
-                        pairs += [(p + a, p + b) for a, b in zip(spans[0::2], spans[1::2], strict=True)]
-                kept, at, removed, runs, last = [], 0, 0, 0, -1
-                for begin, end in sorted(pairs):
-                    if begin > at or last < 0:
-                        kept.append(raw[at:begin])
-                        runs += 1
-                        at = last = begin
-                    if end > at:
-                        removed += end - at
-                        at = end
-                kept.append(raw[at:])
-                left = b"".join(kept)
-                rows.append((key, len(raw), removed, runs, hashlib.sha256(left).hexdigest(), left if with_kept else None))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+                runs, seen = merged(marks, "gone"), merged(marks, "seen")
+                left = b"".join(raw[a:b] for a, b in zip([0, *[e for _, e in runs]], [*[b for b, _ in runs], len(raw)], strict=True))
+                rows.append((key, len(raw), len(raw) - len(left), len(runs), hashlib.sha256(left).hexdigest(), sum(e - b for b, e in seen), left if with_kept else None))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.binary()]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "kept"]
             batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
-            yield batch if with_kept else batch.select(names[:5])
+            yield batch if with_kept else batch.select(names[:6])
 
     final = source.withColumn("n", F.octet_length("text")).join(by_doc, (F.col("doc") == F.col("d")) & (F.col("n") == F.col("m")), "left").select("doc_id", "text", "marks")
-    return final.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_kept else ""))
+    return final.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long" + (", kept binary" if with_kept else ""))
