@@ -31,11 +31,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """``df`` computed once and read back from a compressed table in the shared folder.
 
-    It takes less room than a checkpoint, but does not keep the partitioning. The table stays until the folder is emptied.
+    It takes less room than a checkpoint, but does not keep the partitioning. The table stays until it is discarded or the folder is emptied.
     """
     path = new_folder(df.sparkSession, "table")
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

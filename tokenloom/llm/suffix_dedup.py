@@ -32,15 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import discard, written
 from ._text import blocks, mix64
 
-WIDTH, MARK, GRAM = 400, 256, 32
+WIDTH, MARK, GRAM = 400, 287, 32
 #: Positions at which the anchor of a string can stand in it; bytes of a context before the anchor.
 REACH = MARK - GRAM + 1
 BEFORE = REACH - 1
 #: Starts that are in one range, level by level; each is a multiple of the next.
-RANGES = (REACH, 45, 9, 1)
+RANGES = (REACH, 64, 8, 1)
 #: Bytes that are winnowed at a time; positions in them take at most 24 bits of a sort key.
 SECTION = 1 << 20
 #: Strings of a group that are built in one collection; a group of more is divided. Strings that are gathered for a collection of several groups.
@@ -179,32 +179,32 @@ def _runs(starts: np.ndarray, size: int) -> np.ndarray:
 
 
 def settled(pieces: DataFrame, size: int) -> DataFrame:
-    """``group``, ``piece``, ``gone`` and ``seen`` (begins and ends of bytes in repeated strings of ``WIDTH`` and ``MARK``, from the anchor on) of pieces (``group``, ``piece``, ``a``, ``skip``, ``bytes``).
+    """``group``, ``piece``, ``gone`` and ``seen`` (begins and ends of bytes in repeated strings of ``WIDTH`` and ``MARK``, from the anchor on) of pieces (``group``, ``piece``, ``a``, ``skip``, ``bytes``), but for the ``whole`` ones.
 
     A piece starts at ``a`` of its context, lacks ``skip`` bytes in front, and holds the strings of ``size`` starts.
     """
     names = ["group", "piece", "gone", "seen"]
 
-    def built(rows: list[tuple[int, int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    def built(rows: list[tuple[int, int, int, int, bytes, bool]]) -> Iterator[pa.RecordBatch]:
         groups = np.unique([r[0] for r in rows], return_inverse=True)[1].reshape(-1)
         columns = np.empty((size - 1 + WIDTH, len(rows)), np.uint16)
         for begin in range(0, len(rows), 4096):
             part = np.full((min(4096, len(rows) - begin), len(columns)), 256, np.uint16)
-            for k, (_, _, _, skip, raw) in enumerate(rows[begin : begin + 4096]):
+            for k, (_, _, _, skip, raw, _) in enumerate(rows[begin : begin + 4096]):
                 part[k, skip : skip + len(raw)] = np.frombuffer(raw, np.uint8)
             columns[:, begin : begin + len(part)] = part.T
         found = repeated_windows(columns, groups)
         out = []
-        for k in np.flatnonzero(found[1].any(axis=0)):
+        for k in np.flatnonzero(found[1].any(axis=0) & ~np.array([r[5] for r in rows])):
             first = rows[k][2] - BEFORE
             out.append((*rows[k][:2], *[_runs(np.flatnonzero(f[:, k]) + first, n) for f, n in zip(found, (WIDTH, MARK), strict=True)]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())], strict=True)], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, int, bytes]] = []
+        held: list[tuple[int, int, int, int, bytes, bool]] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("group", "piece", "a", "skip", "bytes")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("group", "piece", "a", "skip", "bytes", "whole")), strict=True):
                 if held and row[:2] == held[-1][:2]:
                     continue
                 if len(held) >= TOGETHER and row[0] != held[-1][0]:
@@ -237,7 +237,7 @@ def _over_texts(rows: DataFrame, docs: DataFrame, each: Callable[[bytes, dict],
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     names = [part.split()[0] for part in schema.split(", ")]
-    kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[part.split()[1]] for part in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}[part.split()[1]] for part in schema.split(", ")]
     found = docs.withColumn("n", F.octet_length("text")).join(by_doc, ["doc", "n"]).select("doc", "n", "text", "places")
     return found.mapInArrow(run, schema)
 
@@ -249,12 +249,13 @@ def _piece(raw: bytes, pos: int, a: int, size: int) -> tuple[int, bytes]:
 
 
 def bytes_of(pieces: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """``group``, ``piece``, ``a``, ``skip``, ``bytes`` of pieces (``group``, ``piece``, ``a``, ``doc``, ``n``, ``pos``) of ``size`` starts."""
+    """``group``, ``piece``, ``a``, ``skip``, ``bytes``, ``whole`` (it occurs again) of pieces (``group``, ``piece``, ``times``, ``a``, ``doc``, ``n``, ``pos``) of ``size`` starts."""
 
     def each(raw: bytes, p: dict) -> Iterator[tuple]:
-        yield (p["group"], p["piece"], p["a"], *_piece(raw, p["pos"], p["a"], size))
+        yield (p["group"], p["piece"], p["a"], *_piece(raw, p["pos"], p["a"], size), p["whole"])
 
-    return _over_texts(pieces.select("group", "piece", "a", "doc", "n", "pos"), docs, each, "group long, piece long, a int, skip int, bytes binary")
+    rows = pieces.select("group", "piece", "a", "doc", "n", "pos", (F.col("times") > 1).alias("whole"))
+    return _over_texts(rows, docs, each, "group long, piece long, a int, skip int, bytes binary, whole boolean")
 
 
 def _hash(*parts: bytes) -> int:
@@ -277,7 +278,7 @@ def divided(rows: DataFrame, docs: DataFrame, size: int, part: int) -> DataFrame
 
 
 def repeats(kinds: DataFrame, docs: DataFrame) -> DataFrame:
-    """``anchor``, ``context``, ``gone``, ``seen`` (begins and ends from the anchor on) of contexts (``anchor``, ``context``, ``times``, ``doc``, ``n``, ``pos``) in which a string is repeated; a context can have several rows."""
+    """``anchor``, ``context``, ``gone``, ``seen`` (begins and ends from the anchor on) of contexts (``anchor``, ``context``, ``times``, ``doc``, ``n``, ``pos``) in which a string is repeated."""
     members = kinds.select(F.col("anchor").alias("group"), F.col("context").alias("piece"), "anchor", "context", "times", F.lit(0).alias("a"), "doc", "n", "pos")
     out = []
     for level, size in enumerate(RANGES):
@@ -307,40 +308,59 @@ def repeats(kinds: DataFrame, docs: DataFrame) -> DataFrame:
         if level:
             many = members.join(many.select("group", "piece"), ["group", "piece"], "left_semi")
         members = written(divided(many, docs, size, RANGES[level + 1]))
-    return reduce(DataFrame.union, out)
+        discard(compared, several)
+    if len(out) == 1:
+        return out[0]
+    each = reduce(DataFrame.union, out).groupBy("anchor", "context").agg(F.collect_list("gone").alias("gone"), F.collect_list("seen").alias("seen"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [pa.array([[x for pair in merged(lists) for x in pair] for lists in batch.column(c).to_pylist()], pa.list_(pa.int32())) for c in ("gone", "seen")]
+            yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("context"), *spans], ["anchor", "context", "gone", "seen"])
+
+    return written(each.mapInArrow(run, "anchor long, context long, gone array<int>, seen array<int>"))
+
+
+def merged(lists: Iterable[list[int]]) -> list[list[int]]:
+    """The runs that spans cover; each list has begins and ends in turn."""
+    out: list[list[int]] = []
+    for begin, end in sorted(pair for spans in lists for pair in zip(spans[0::2], spans[1::2], strict=True)):
+        if out and begin <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([begin, end])
+    return out
 
 
 def remove_repeats(docs: DataFrame, *, with_kept: bool = False) -> DataFrame:
     """One row per document (``doc_id``, ``text``; other columns are ignored): ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs), ``kept_sha256``, ``n_repeated`` and, with ``with_kept``, the bytes ``kept``.
 
     Strings of 400 bytes are judged on the whole input; one that occurs twice goes at both places, in one document or two. ``n_repeated``: bytes in
-    strings of 256 bytes that also start elsewhere, so passages of some 50 words count there that are too short to go.
+    strings of 287 bytes that also start elsewhere, so passages of some 50 words count there that are too short to go.
     Null texts are empty, and texts under 400 bytes stay whole; rows with equal texts repeat each other, whatever their ids;
     a null id stays null; an empty table gives no rows. Contexts of an anchor are known by 64-bit hashes, texts by such a hash and their size.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("doc", F.xxhash64("text"))
-    every = written(anchored(source.select("doc", "text")))
+    found = written(anchored(source.select("doc", "text")))
+    # An anchor that occurs once has no part in what follows.
+    met = found.groupBy(F.col("anchor").alias("met")).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("met")
+    every = written(found.join(met, F.col("anchor") == F.col("met"), "left_semi"))
+    discard(found)
     # Equal texts give equal rows here, and a pre-aggregated one for each task.
     kinds = written(every.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "n", "pos")).alias("at")).select("anchor", "context", "times", "at.*"))
     covered = repeats(kinds, source).withColumnsRenamed({"anchor": "anchor_c", "context": "context_c"})
     marks = every.join(covered, (F.col("anchor") == F.col("anchor_c")) & (F.col("context") == F.col("context_c"))).select("doc", "n", "pos", "gone", "seen").distinct()
     by_doc = written(marks.groupBy("doc", "n").agg(F.collect_list(F.struct("pos", "gone", "seen")).alias("marks")).withColumnsRenamed({"doc": "d", "n": "m"}))
 
-    def merged(marks: list[dict] | None, name: str) -> list[tuple[int, int]]:
-        out: list[list[int]] = []
-        for begin, end in sorted((m["pos"] + x, m["pos"] + y) for m in marks or [] for x, y in zip(m[name][0::2], m[name][1::2], strict=True)):
-            if out and begin <= out[-1][1]:
-                out[-1][1] = max(out[-1][1], end)
-            else:
-                out.append([begin, end])
-        return out
+    def placed(marks: list[dict] | None, name: str) -> list[list[int]]:
+        return merged([m["pos"] + x for x in m[name]] for m in marks or [])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for key, text, marks in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                runs, seen = merged(marks, "gone"), merged(marks, "seen")
+                runs, seen = placed(marks, "gone"), placed(marks, "seen")
                 left = b"".join(raw[a:b] for a, b in zip([0, *[e for _, e in runs]], [*[b for b, _ in runs], len(raw)], strict=True))
                 rows.append((key, len(raw), len(raw) - len(left), len(runs), hashlib.sha256(left).hexdigest(), sum(e - b for b, e in seen), left if with_kept else None))
             columns = list(zip(*rows, strict=True)) or [()] * 7
