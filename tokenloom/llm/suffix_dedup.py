@@ -15,7 +15,7 @@ document has bytes. So the construction is applied to short strings of one lengt
    neighbours have ``WIDTH`` or ``MARK`` bytes in common, such a string that starts in this column is repeated. Columns are stored
    one after another, and each is read once.
 
-A collection has ``LIMIT`` strings of a group at most, so it needs neither files nor much memory. An anchor of more kinds is divided: strings that start in a range
+A collection has ``LIMIT`` strings of a group at most, so it needs no files and some 150 MB of memory at most. An anchor of more kinds is divided: strings that start in a range
 of columns have the bytes in common that all of them reach, which for the whole range is the anchor, and more for a part of it. So a group's
 range is cut into parts, a part's strings are grouped by those bytes, and equal ones are one again, down to a range of a
 single start, where the groups themselves tell what is repeated.
@@ -40,11 +40,11 @@ WIDTH, MARK, GRAM = 400, 287, 32
 REACH = MARK - GRAM + 1
 BEFORE = REACH - 1
 #: Starts that are in one range, level by level; each is a multiple of the next.
-RANGES = (REACH, 64, 8, 1)
+RANGES = (REACH, 64, 16, 4, 1)
 #: Bytes that are winnowed at a time; positions in them take at most 24 bits of a sort key.
 SECTION = 1 << 20
 #: Strings of a group that are built in one collection; a group of more is divided. Strings that are gathered for a collection of several groups.
-LIMIT, TOGETHER = 4_000, 10_000
+LIMIT, TOGETHER = 32_000, 10_000
 #: Rows (about 30 bytes each) that are broadcast at most; beyond that a shuffled join gives the same rows.
 MAX_BROADCAST_ROWS = 2_000_000
 
@@ -311,25 +311,24 @@ def repeats(kinds: DataFrame, docs: DataFrame) -> DataFrame:
         discard(compared, several)
     if len(out) == 1:
         return out[0]
-    each = reduce(DataFrame.union, out).groupBy("anchor", "context").agg(F.collect_list("gone").alias("gone"), F.collect_list("seen").alias("seen"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = [pa.array([[x for pair in merged(lists) for x in pair] for lists in batch.column(c).to_pylist()], pa.list_(pa.int32())) for c in ("gone", "seen")]
-            yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("context"), *spans], ["anchor", "context", "gone", "seen"])
-
-    return written(each.mapInArrow(run, "anchor long, context long, gone array<int>, seen array<int>"))
-
-
-def merged(lists: Iterable[list[int]]) -> list[list[int]]:
-    """The runs that spans cover; each list has begins and ends in turn."""
-    out: list[list[int]] = []
-    for begin, end in sorted(pair for spans in lists for pair in zip(spans[0::2], spans[1::2], strict=True)):
-        if out and begin <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([begin, end])
-    return out
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("gone", "seen")]
+    return written(reduce(DataFrame.union, out).groupBy("anchor", "context").agg(*lists))
+
+
+def _covered(marks: pa.ListArray, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs that the spans ``name`` of each row's marks cover: the number of the row, begin and end, in order."""
+    rows = np.repeat(np.arange(len(marks)), marks.value_lengths().fill_null(0).to_numpy())
+    flat = marks.flatten()
+    spans = flat.field(name)
+    sizes = spans.value_lengths().to_numpy() // 2
+    ends = spans.flatten().to_numpy().astype(np.int64).reshape(-1, 2)
+    # A place is a number whose upper bits are the row's, so that all rows are treated at once.
+    ends += np.repeat((rows << 40) + flat.field("pos").to_numpy(), sizes)[:, None]
+    ends = ends[np.argsort(ends[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(ends[:, 1])
+    first = np.flatnonzero(np.concatenate([[True], ends[1:, 0] > reach[:-1]])) if len(ends) else np.zeros(0, np.int64)
+    begin, end = ends[first, 0], reach[np.append(first[1:], len(ends)) - 1] if len(first) else reach
+    return begin >> 40, begin & ((1 << 40) - 1), end & ((1 << 40) - 1)
 
 
 def remove_repeats(docs: DataFrame, *, with_kept: bool = False) -> DataFrame:
@@ -343,7 +342,7 @@ def remove_repeats(docs: DataFrame, *, with_kept: bool = False) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("doc", F.xxhash64("text"))
     found = written(anchored(source.select("doc", "text")))
     # An anchor that occurs once has no part in what follows.
-    met = found.groupBy(F.col("anchor").alias("met")).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("met")
+    met = written(found.groupBy(F.col("anchor").alias("met")).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("met"))
     every = written(found.join(met, F.col("anchor") == F.col("met"), "left_semi"))
     discard(found)
     # Equal texts give equal rows here, and a pre-aggregated one for each task.
@@ -352,22 +351,20 @@ def remove_repeats(docs: DataFrame, *, with_kept: bool = False) -> DataFrame:
     marks = every.join(covered, (F.col("anchor") == F.col("anchor_c")) & (F.col("context") == F.col("context_c"))).select("doc", "n", "pos", "gone", "seen").distinct()
     by_doc = written(marks.groupBy("doc", "n").agg(F.collect_list(F.struct("pos", "gone", "seen")).alias("marks")).withColumnsRenamed({"doc": "d", "n": "m"}))
 
-    def placed(marks: list[dict] | None, name: str) -> list[list[int]]:
-        return merged([m["pos"] + x for x in m[name]] for m in marks or [])
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, text, marks in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                runs, seen = placed(marks, "gone"), placed(marks, "seen")
-                left = b"".join(raw[a:b] for a, b in zip([0, *[e for _, e in runs]], [*[b for b, _ in runs], len(raw)], strict=True))
-                rows.append((key, len(raw), len(raw) - len(left), len(runs), hashlib.sha256(left).hexdigest(), sum(e - b for b, e in seen), left if with_kept else None))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.binary()]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "kept"]
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
-            yield batch if with_kept else batch.select(names[:6])
+            raws = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+            owner, begin, end = _covered(batch.column("marks"), "gone")
+            first = np.searchsorted(owner, np.arange(len(raws) + 1))
+            lefts = []
+            for raw, a, b in zip(raws, first[:-1], first[1:], strict=True):
+                lefts.append(b"".join(raw[x:y] for x, y in zip([0, *end[a:b]], [*begin[a:b], len(raw)], strict=True)) if b > a else raw)
+            at, x, y = _covered(batch.column("marks"), "seen")
+            seen = np.bincount(at, y - x, len(raws)).astype(np.int64)
+            sizes = [np.array([len(r) for r in t], np.int64) for t in (raws, lefts)]
+            columns = [batch.column("doc_id"), pa.array(sizes[0]), pa.array(sizes[0] - sizes[1]), pa.array(np.diff(first)), pa.array([hashlib.sha256(t).hexdigest() for t in lefts], pa.string()), pa.array(seen)]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lefts, pa.binary())] if with_kept else columns, [*names, "kept"] if with_kept else names)
 
     final = source.withColumn("n", F.octet_length("text")).join(by_doc, (F.col("doc") == F.col("d")) & (F.col("n") == F.col("m")), "left").select("doc_id", "text", "marks")
     return final.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long" + (", kept binary" if with_kept else ""))
