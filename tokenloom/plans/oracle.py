@@ -65,7 +65,15 @@ d1 AS (SELECT *, CASE WHEN rk > 1 AND sim > pm THEN rk END AS imp FROM d0),
 d2 AS (SELECT *, coalesce(max(imp) OVER v, 0) AS lr, coalesce(max(CASE WHEN sim > 0.7 THEN 1 ELSE 0 END) OVER v, 0) AS done FROM d1 WINDOW v AS (PARTITION BY query_id ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 nb AS (SELECT query_id, rk, label, sim FROM (SELECT *, max(CASE WHEN rk - lr > 20 OR done = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rk ROWS UNBOUNDED PRECEDING) AS st FROM d2) WHERE st = 0)"""
 NEAREST = "SELECT q.label AS query_id, b.label, coalesce(b.sim, 0.0) AS sim FROM q LEFT JOIN (SELECT * FROM nb QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, rk) = 1) b ON b.query_id = q.label"
-SIGNS = "(SELECT label, sum(CASE WHEN v > 0 THEN 1::BIGINT << b ELSE 0 END)::BIGINT AS h FROM (SELECT label, b, sum(CASE WHEN (x >> b) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM (SELECT label, ('0x' || substr(md5(f), 1, 15))::BIGINT AS x FROM (SELECT label, unnest(features) AS f FROM {0})), (SELECT unnest(range(60)) AS b) GROUP BY label, b) GROUP BY label)"
+# Votes of a feature are counts of 10 bits, 12 to a number, so that a point's are added up in five numbers (points have fewer than 1,024 features).
+LANES = "(SELECT f, [" + ", ".join(f"sum(CASE WHEN b // 12 = {k} THEN ((x >> b) & 1)::HUGEINT << (10 * (b % 12))::INT ELSE 0 END)" for k in range(5)) + "] AS v FROM (SELECT f, ('0x' || substr(md5(f), 1, 15))::BIGINT AS x FROM (SELECT DISTINCT unnest(features) AS f FROM {0})), (SELECT unnest(range(60)) AS b) GROUP BY f)"
+SIGNS = (
+    "(SELECT label, list_sum(list_transform(range(60), lambda b: CASE WHEN 2 * ((v[b // 12 + 1] >> (10 * (b % 12))::INT) & 1023) > n THEN 1::BIGINT << b ELSE 0::BIGINT END))::BIGINT AS h FROM (SELECT label, count(*) AS n, ["
+    + ", ".join(f"sum(v[{k}])" for k in range(1, 6))
+    + "] AS v FROM (SELECT label, unnest(features) AS f FROM {0}) JOIN "
+    + LANES
+    + " USING (f) GROUP BY label))"
+)
 
 
 def _scored(kind: str) -> str:
