@@ -7,11 +7,12 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tokenloom.functions.featurizers import DEFAULT, BookEnds, Empty, SkipScheme, Text, Tokens, ngram, skipgram
-from tokenloom.functions.metrics import Jaccard, Overlap
+from tokenloom.functions.featurizers import DEFAULT, BookEnds, Empty, Mapped, SkipScheme, Text, Tokens, ngram, skipgram
+from tokenloom.functions.metrics import Jaccard, Metric, Overlap, OverlapIdf
 from tokenloom.functions.text import decomposed, induce_typo
 from tokenloom.operators.evaluate import exact_nearest, lsh_nearest
-from tokenloom.operators.index import FuzzyIndex, cutoffs, points
+from tokenloom.operators.cluster import cluster_points, cluster_rows
+from tokenloom.operators.index import FuzzyIndex, cutoffs, mapped_points, point_features, points
 from tokenloom.operators.search import SearchParams, nearest, neighbors, stopped
 from tokenloom.plans.oracle import ORACLE_SQL
 from tokenloom.plans.queries import QUERIES
@@ -132,6 +133,42 @@ def test_lexicon_file(spark, tmp_path):
     assert sorted(r.word for r in lexicon(spark, str(tmp_path / "words.txt")).collect()) == ["CORAL", "FISH"]
 
 
+def test_mapped_featurizer_and_mapped_points_agree(spark):
+    to_v = lambda f: F.when(f.rlike("^[aeiou]"), F.lit("V"))
+    assert features(spark, Mapped(ngram(2), to_v), "acorn") == ["V", "V"]
+    assert features(spark, Mapped(ngram(2), to_v, keep_unseen=True), "acorn") == ["V", "co", "V", "rn"]
+    plain = points(words(spark, ["acorn", "xyz", ""]), ngram(2))
+    table = words(spark, ["ac", "or"]).select(F.col("word").alias("feature"), F.lit("V").alias("mapped"))
+    for keep in (False, True):
+        found = {r.label: r.features for r in mapped_points(plain, table, keep_unseen=keep).collect()}
+        assert found == {r.label: r.features for r in points(words(spark, ["acorn", "xyz", ""]), Mapped(ngram(2), to_v, keep)).collect()}
+
+
+def test_transposed_index_is_searched(spark, corals):
+    turned = corals.transposed()
+    found = {r.query_id: r for r in nearest(turned, turned.points, SearchParams(OverlapIdf(), 100, 100, 1000, 101, 1000)).collect()}
+    assert found["ki"].label is not None and found["ki"].sim > 0
+
+
+@pytest.mark.parametrize("params", [None, SearchParams()])
+@pytest.mark.parametrize("values", [[], ["ab"], ["ab", "cd"], [None, ""]])
+def test_clusters_of_little(spark, values, params):
+    tf = point_features(points(words(spark, values), ngram(2)))
+    assert sorted(cluster_points(tf, 0.2, params).collect()) == [(v, v) for v in values if v]
+    assert cluster_rows(tf, 0.5).count() == 0
+    with pytest.raises(ValueError, match="epochs"):
+        cluster_rows(tf, 0.5, 0)
+
+
+def test_metric_of_ones_own(spark, corals):
+    class Shared(Metric):
+        def sim(self):
+            return F.col("common") / 100
+
+    asked = points(words(spark, ["acropora valda"]), ngram(2))
+    assert nearest(corals, asked, SearchParams(Shared())).first().label == "acropora valida"
+
+
 def test_stream_of_queries(spark, corals, tmp_path):
     words(spark, ["acropora valda"]).write.parquet(str(tmp_path / "in"))
     got = []
@@ -145,7 +182,7 @@ def test_empty_and_repeated_input(spark):
     assert nearest(index, points(words(spark, ["coral", "coral"]), DEFAULT), SearchParams()).count() == 1
 
 
-@pytest.mark.parametrize("name", ["default_ascii", "skip_scheme_ranges", "simhash60", "compressed_index", "nearest_jaccard", "search_stats", "cluster_a", "cluster_b", "accuracy_report", "brute_force_nearest"])
+@pytest.mark.parametrize("name", ["default_ascii", "skip_scheme_ranges", "simhash60", "compressed_index", "nearest_jaccard", "search_stats", "cluster_a", "cluster_b", "cluster_b_budgeted", "clustered_points", "nearest_mapped", "nearest_hamming", "document_tokens", "accuracy_report", "brute_force_nearest"])
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "part"):

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEPARATOR = "\x01"
@@ -158,6 +158,24 @@ class Custom(Featurizer):
         return self.function(sequence)
 
 
+@dataclass(frozen=True)
+class Mapped(Featurizer):
+    """The inner featurizer's features through a function of a column; those that it gives null stay with ``keep_unseen`` and go without."""
+
+    inner: Featurizer
+    function: Callable[[Column], Column]
+    keep_unseen: bool = False
+
+    def bag(self, sequence: Sequence) -> Column:
+        to = F.transform(self.inner.bag(sequence), lambda f: F.coalesce(self.function(f), f) if self.keep_unseen else self.function(f))
+        return F.filter(to, lambda f: f.isNotNull())
+
+
+def filter_map(features: DataFrame, function: Callable[[Column], Column]) -> DataFrame:
+    """``feature``, ``mapped``: the distinct ``feature`` of a table for which the function gives a value."""
+    return features.select("feature").distinct().withColumn("mapped", function(F.col("feature"))).where("mapped is not null")
+
+
 DEFAULT = skipgram(2, (0, 3), 2) + BookEnds(4, 4, ngram(2))
 
 

@@ -35,6 +35,14 @@ class Overlap(Metric):
         return F.when(F.col("common") == 0, F.lit(0.0)).otherwise(F.col("common") / F.least("nq", "np"))
 
 
+@dataclass(frozen=True)
+class OverlapIdf(Metric):
+    """Overlap over the logarithm of the larger bag's size, with strictly larger bags only."""
+
+    def sim(self) -> Column:
+        return F.when((F.col("common") > 0) & (F.col("nq") < F.col("np")), F.col("common") / F.col("nq") / F.ln("np")).otherwise(F.lit(0.0))
+
+
 @dataclass(frozen=True)
 class Hamming(Metric):
     def sim(self) -> Column:

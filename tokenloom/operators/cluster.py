@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .index import cooccurrence
+from ..functions.featurizers import Empty
+from ..functions.metrics import OverlapIdf
+from ._store import checkpointed
+from .index import FuzzyIndex, cooccurrence, transposed_points
+from .search import SearchParams, best, neighbors
+
+
+def _threshold(cutoff: float, mean: Column) -> Column:
+    """The least score that counts, over the logarithm of the mean size; null, so that none counts, where the mean is 1 or missing."""
+    return F.lit(cutoff) / F.nullif(F.ln(mean), F.lit(0.0))
 
 
 def cluster_rows(tf: DataFrame, cutoff: float, epochs: int = 1) -> DataFrame:
@@ -18,16 +25,19 @@ def cluster_rows(tf: DataFrame, cutoff: float, epochs: int = 1) -> DataFrame:
     """
     if not 0 <= cutoff <= 1:
         raise ValueError("cutoff must be in [0, 1]")
-    edges = cooccurrence(tf)
+    if epochs < 1:
+        raise ValueError("epochs must be 1 or more")
+    edges = checkpointed(cooccurrence(tf))
     sizes = edges.groupBy("feature_a").agg(F.sum("n").alias("size"))
     x, y = (edges.select(F.col("feature_a").alias(f"f{k}"), F.col("feature_b").alias("shared"), F.col("n").alias(f"n{k}")) for k in "ab")
-    # Rows meet in what they share; only features that also co-occur are paired.
-    common = x.join(y, "shared").join(edges.select(F.col("feature_a").alias("fa"), F.col("feature_b").alias("fb")), ["fa", "fb"], "left_semi").groupBy("fa", "fb").agg(F.sum(F.least("na", "nb")).alias("c"))
+    # Only features that co-occur are paired, and these meet in what both share: a common feature makes no pairs of its own.
+    together = edges.select(F.col("feature_a").alias("fa"), F.col("feature_b").alias("fb"))
+    common = together.join(x, "fa").join(y, ["fb", "shared"]).groupBy("fa", "fb").agg(F.sum(F.least("na", "nb")).alias("c"))
     sa, sb = (sizes.select(F.col("feature_a").alias(f"f{k}"), F.col("size").alias(f"s{k}")) for k in "ab")
     scored = common.join(sa, "fa").join(sb, "fb").where("sb >= sa and sb > 1").withColumn("score", F.col("c") / F.least("sa", "sb") / F.ln("sb"))
     mean = sizes.agg((F.sum("size") / F.count(F.lit(1))).alias("mean"))
     last = 1.0 - (1.0 - cutoff) / epochs * (epochs - 1)
-    least = mean.select((F.lit(last) / F.ln("mean")).alias("least"))
+    least = mean.select(_threshold(last, F.col("mean")).alias("least"))
     first = scored.join(F.broadcast(least), F.col("score") >= F.col("least")).groupBy("fa").agg(F.max("score").alias("top"))
     return scored.join(first.withColumnRenamed("fa", "f"), (F.col("fa") == F.col("f")) & (F.col("score") == F.col("top"))).groupBy(F.col("fa").alias("feature")).agg(F.min("fb").alias("mapped"))
 
@@ -44,25 +54,31 @@ def overlap_idf(tf: DataFrame) -> DataFrame:
 
 def roots(parents: DataFrame) -> DataFrame:
     """``feature``, ``mapped``: the root of each feature in ``parents`` (``feature``, ``parent``; roots are their own), by pointer jumping."""
-    current = parents.select("feature", F.col("parent").alias("mapped")).checkpoint()
+    current = checkpointed(parents.select("feature", F.col("parent").alias("mapped")))
     while True:
         above = current.select(F.col("feature").alias("at"), F.col("mapped").alias("next"))
-        jumped = current.join(above, F.col("mapped") == F.col("at")).select("feature", F.col("next").alias("mapped"), (F.col("next") != F.col("mapped")).alias("moved")).checkpoint()
+        jumped = checkpointed(current.join(above, F.col("mapped") == F.col("at")).select("feature", F.col("next").alias("mapped"), (F.col("next") != F.col("mapped")).alias("moved")))
         current = jumped.select("feature", "mapped")
         if jumped.where("moved").isEmpty():
             return current
 
 
-def cluster_points(tf: DataFrame, cutoff: float) -> DataFrame:
-    """``feature``, ``mapped`` for all features: each joins its nearest more frequent one, by ``overlap_idf``, from a threshold on, and that one's root."""
-    spark = tf.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+def cluster_points(tf: DataFrame, cutoff: float, params: SearchParams | None = None) -> DataFrame:
+    """``feature``, ``mapped`` for all features: each joins its nearest more frequent one, by ``overlap_idf``, from a threshold on, and that one's root.
+
+    The nearest is the best of all, or with ``params`` the best that a budgeted search of the features' index finds. Where each feature occurs once, none joins
+    another; an empty table gives no rows.
+    """
     stats = tf.groupBy("feature").agg(F.sum("tf").alias("df"))
-    least = cutoff / math.log(stats.agg(F.sum("df") / F.count(F.lit(1))).first()[0])
-    scored = overlap_idf(tf).where(F.col("sim") >= least)
-    top = scored.groupBy(F.col("feature").alias("f")).agg(F.max("sim").alias("top"))
-    chosen = scored.join(top, (F.col("feature") == F.col("f")) & (F.col("sim") == F.col("top"))).groupBy("feature").agg(F.min("other").alias("parent"))
+    least = F.broadcast(stats.agg(_threshold(cutoff, F.sum("df") / F.count(F.lit(1))).alias("least")))
+    if params is None:
+        scored = overlap_idf(tf).join(least, F.col("sim") >= F.col("least"))
+        top = scored.groupBy(F.col("feature").alias("f")).agg(F.max("sim").alias("top"))
+        chosen = scored.join(top, (F.col("feature") == F.col("f")) & (F.col("sim") == F.col("top"))).groupBy("feature").agg(F.min("other").alias("parent"))
+    else:
+        index = FuzzyIndex.from_points(checkpointed(transposed_points(tf)), Empty())
+        found = best(neighbors(index, index.points, params.with_metric(OverlapIdf())))
+        chosen = found.join(least, F.col("sim") >= F.col("least")).where("sim > 0").select(F.col("query_id").alias("feature"), F.col("label").alias("parent"))
     return roots(stats.select("feature").join(chosen, "feature", "left").select("feature", F.coalesce("parent", "feature").alias("parent")))
 
 

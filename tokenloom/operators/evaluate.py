@@ -50,9 +50,11 @@ def lsh_nearest(index: FuzzyIndex, queries: DataFrame, *, tables: int = 5, least
     from pyspark.ml.feature import CountVectorizer, MinHashLSH
 
     named = lambda df: df.where(F.size("features") > 0).select("label", "features")
-    vectors = CountVectorizer(inputCol="features", outputCol="vector", binary=True).fit(named(index.points))
+    vectors = CountVectorizer(inputCol="features", outputCol="vector", binary=True, vocabSize=max(1, index.stats.count())).fit(named(index.points))
     base = vectors.transform(named(index.points))
-    asked = vectors.transform(named(queries)).where(F.udf(lambda v: bool(v.numNonzeros()), "boolean")("vector"))
+    # Queries without a known feature have no neighbours, and no vector that can be hashed.
+    known = queries.select(F.col("label").alias("known"), F.explode("features").alias("feature")).join(index.stats, "feature").select("known").distinct()
+    asked = vectors.transform(named(queries).join(known, F.col("label") == F.col("known"), "left_semi"))
     model = MinHashLSH(inputCol="vector", outputCol="hashes", numHashTables=tables, seed=1).fit(base)
     pairs = model.approxSimilarityJoin(asked, base, 1 - least, "d").select(F.col("datasetA.label").alias("query_id"), F.col("datasetB.label").alias("label")).withColumn("rk", F.lit(0))
     return scored(index, queries, pairs, SearchParams().metric).groupBy("query_id").agg(F.max(F.struct("sim", "label")).alias("b")).select("query_id", "b.label", "b.sim")

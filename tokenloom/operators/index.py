@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.featurizers import Featurizer, Sequence, Text
+from ..functions.featurizers import Empty, Featurizer, Sequence, Text
+from ._store import checkpointed
 
 
 def points(sequences: DataFrame, featurizer: Featurizer, *, label: str = "word", sequence: Sequence | None = None, distinct: bool = True) -> DataFrame:
@@ -32,6 +33,22 @@ def feature_stats(tf: DataFrame) -> DataFrame:
     return tf.groupBy("feature").agg(F.sum("tf").alias("freq"), F.count(F.lit(1)).alias("df"))
 
 
+def transposed_points(tf: DataFrame) -> DataFrame:
+    """Features as points: ``label`` (the feature), ``features`` (the labels that have it, by occurrence), ``n``."""
+    each = tf.select(F.col("feature").alias("label"), F.explode(F.array_repeat("label", F.col("tf").cast("int"))).alias("f"))
+    return each.groupBy("label").agg(F.array_sort(F.collect_list("f")).alias("features"), F.count(F.lit(1)).cast("int").alias("n"))
+
+
+def mapped_points(points_: DataFrame, mapping: DataFrame, *, keep_unseen: bool = False) -> DataFrame:
+    """Points whose features are replaced by ``mapping`` (``feature``, ``mapped``; a feature once); others stay with ``keep_unseen`` and go without.
+
+    For points and queries alike, so that an index is built and searched through the mapping. A point that loses all features stays.
+    """
+    to = F.coalesce("mapped", "feature") if keep_unseen else F.col("mapped")
+    each = points_.select("label", F.explode_outer("features").alias("feature")).join(mapping.select("feature", "mapped"), "feature", "left")
+    return each.groupBy("label").agg(F.array_sort(F.collect_list(to)).alias("features")).withColumn("n", F.size("features"))
+
+
 def posting_order() -> Column:
     """A hash of feature, point and occurrence: the order of postings."""
     return F.md5(F.concat_ws("|", "feature", "label", F.col("occ").cast("string")).cast("binary"))
@@ -65,13 +82,17 @@ class FuzzyIndex:
         """Five compress steps, with cut-offs that fall by the ratio 144/89 to ``cutoff``."""
         kept = self.tf
         for c in cutoffs(cutoff):
-            kept = compress_step(self.points, self.tf, kept, c)
+            # A step reads what is kept twice; without a cut the plan would double each time.
+            kept = checkpointed(compress_step(self.points, self.tf, kept, c))
         return FuzzyIndex(self.points, self.tf, feature_stats(kept), postings(kept), self.featurizer)
 
     def transpose(self) -> DataFrame:
         """Features as points: ``label`` (the feature), ``features`` (the labels that have it, by occurrence), ``df`` (occurrences)."""
-        each = self.tf.select(F.col("feature").alias("label"), F.explode(F.array_repeat("label", F.col("tf").cast("int"))).alias("f"))
-        return each.groupBy("label").agg(F.array_sort(F.collect_list("f")).alias("features"), F.count(F.lit(1)).alias("df"))
+        return transposed_points(self.tf).select("label", "features", F.col("n").cast("long").alias("df"))
+
+    def transposed(self) -> FuzzyIndex:
+        """An index of the features as points, whose features are the labels that have them."""
+        return FuzzyIndex.from_points(transposed_points(self.tf), Empty())
 
     def save(self, folder: str) -> None:
         """Postings are written sorted by feature and rank, so that a look-up's filter reaches the scan."""

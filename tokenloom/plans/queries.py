@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.featurizers import DEFAULT, BookEnds, Custom, Empty, Featurizer, FourGrams, SkipScheme, Text, Tokens, ngram, skipgram
+from ..functions.featurizers import DEFAULT, BookEnds, Custom, Empty, Featurizer, FourGrams, Mapped, SkipScheme, Text, Tokens, filter_map, ngram, skipgram
 from ..functions.metrics import Hamming, Jaccard, Overlap, simhash
 from ..functions.text import induce_typo, normalized
 from ..operators import cluster, evaluate
-from ..operators.index import FuzzyIndex, compress_step, cooccurrence, point_features, points
+from ..operators.index import FuzzyIndex, compress_step, cooccurrence, mapped_points, point_features, points
 from ..operators.search import SearchParams, candidates, nearest, neighbors, scored, statistics
-from ..sources import document_words, shingle_tokens, with_reversed
+from ..sources import document_words, shingle_tokens, tokens, with_reversed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,7 +106,14 @@ def _bigrams(spark, sf_dir, source=words) -> DataFrame:
 
 def mapping(tf: DataFrame) -> DataFrame:
     """Features that begin with a vowel go to ``V``."""
-    return tf.select("feature").distinct().where(F.col("feature").rlike("^[AEIOU]")).select("feature", F.lit("V").alias("mapped"))
+    return filter_map(tf, vowels)
+
+
+def vowels(feature: Column) -> Column:
+    return F.when(feature.rlike("^[AEIOU]"), F.lit("V"))
+
+
+MAPPED = Mapped(DEFAULT, vowels, keep_unseen=True)
 
 
 @query
@@ -136,6 +143,18 @@ def featurize_counts(spark, sf_dir):
     return _bigrams(spark, sf_dir)
 
 
+@query
+def featurize_x2(spark, sf_dir):
+    bag = ngram(2).features(Text(F.col("word")))
+    return words(spark, sf_dir).select("word", F.size(bag).cast("long").alias("n"), shown(F.array_distinct(bag)).alias("features"))
+
+
+@query
+def document_tokens(spark, sf_dir):
+    found = tokens(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n"), F.md5(F.array_join(found, " ").cast("binary")).alias("digest"))
+
+
 @query
 def featurize_x3(spark, sf_dir):
     bag = DEFAULT.features(Text(F.col("word")))
@@ -191,7 +210,7 @@ def index_feature_stats(spark, sf_dir):
 
 @query
 def index_postings_ranked(spark, sf_dir):
-    return index(spark, sf_dir, featurizer=ngram(2)).postings.where(F.col("prank") <= PARAMS.breadth).select("feature", "label", F.col("occ").cast("long").alias("occ"), F.col("prank").cast("long").alias("prank"))
+    return index(spark, sf_dir, featurizer=ngram(2)).postings.select("feature", "label", F.col("occ").cast("long").alias("occ"), F.col("prank").cast("long").alias("prank"))
 
 
 @query
@@ -261,6 +280,29 @@ def cluster_remap(spark, sf_dir):
     return cluster.remap(tf, cluster.cluster_points(tf, 0.2), keep_unseen=True)
 
 
+@query
+def cluster_b_budgeted(spark, sf_dir):
+    return cluster.cluster_points(_bigrams(spark, sf_dir, part_names), 0.2, PARAMS)
+
+
+@query
+def clustered_points(spark, sf_dir):
+    """Part names through the clusters of their features."""
+    made = points(part_names(spark, sf_dir), ngram(2))
+    return mapped_points(made, cluster.cluster_points(point_features(made), 0.2)).select("label", F.array_join("features", "|").alias("features"), F.col("n").cast("long").alias("n"))
+
+
+@query
+def nearest_mapped(spark, sf_dir):
+    """Typos' nearest words in an index that is built and searched through a mapped featurizer."""
+    return nearest(index(spark, sf_dir, featurizer=MAPPED), typos(spark, sf_dir, MAPPED), PARAMS)
+
+
+@query
+def comparisons_average(spark, sf_dir):
+    return evaluate.comparisons_per_lookup(index(spark, sf_dir), typos(spark, sf_dir), PARAMS)
+
+
 @query
 def benchmark_lookup(spark, sf_dir):
     """Each benchmark item's nearest document by word shingles."""
