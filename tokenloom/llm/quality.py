@@ -56,22 +56,25 @@ def measure(docs: DataFrame, *, host: str = "source") -> DataFrame:
 def host_rates(measured: DataFrame, failed: Column) -> DataFrame:
     """``host``, ``n_docs``, ``n_failed`` and ``rate``: the failure rate shrunk by a beta prior fitted to all hosts' rates.
 
-    With mean m and variance v of the hosts' raw rates the prior's weight is m (1 - m) / v - 1. Where
-    the rates do not vary, or vary more than a beta distribution can, the weight is 1. A null host is a host.
+    With mean m of the hosts' raw rates, and v, their variance less that of samples of their sizes at one rate m, the prior's
+    weight is m (1 - m) / v - 1. Where rates vary no more than samples do, all are m; where they vary more than a beta
+    distribution can, the weight is 1. A null host is a host.
     """
     hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.when(failed, 1).otherwise(0)).alias("n_failed"))
     raw = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(raw).alias("m"), F.var_pop(raw).alias("v"))
-    weight = F.when((F.col("v") > 0) & (F.col("m") * (1 - F.col("m")) > F.col("v")), F.col("m") * (1 - F.col("m")) / F.col("v") - 1).otherwise(F.lit(1.0))
-    return hosts.join(F.broadcast(prior), F.lit(True), "left").select("host", "n_docs", "n_failed", ((F.col("n_failed") + F.col("m") * weight) / (F.col("n_docs") + weight)).alias("rate"))
+    whole = F.avg(raw) * (1 - F.avg(raw))
+    prior = hosts.agg(F.avg(raw).alias("m"), whole.alias("whole"), (F.var_pop(raw) - whole * F.avg(1 / F.col("n_docs"))).alias("v"))
+    weight = F.when(F.col("whole") > F.col("v"), F.col("whole") / F.col("v") - 1).otherwise(F.lit(1.0))
+    shrunk = F.when(F.col("v") <= 0, F.col("m")).otherwise((F.col("n_failed") + F.col("m") * weight) / (F.col("n_docs") + weight))
+    return hosts.join(F.broadcast(prior), F.lit(True), "left").select("host", "n_docs", "n_failed", shrunk.alias("rate"))
 
 
 def judge(docs: DataFrame, *, host: str = "source", max_rate: float = 0.5, min_words: int = 50, max_repeat_percent: int = 50, max_symbol_percent: int = 10, max_dup_line_percent: int = 30) -> DataFrame:
     """One row per document (``doc_id``, ``text`` and the host column; others are ignored) with its measures and verdict.
 
     ``base_failed``: fewer than ``min_words`` words or too many in repeated windows. ``rule_failed``: that,
-    too many symbols for its word characters, or too many repeated lines. ``host_rate``: the host's shrunk
-    rate of ``rule_failed``; ``kept``: not ``base_failed`` and a host rate of at most ``max_rate``. Null texts
+    too many symbols for its word characters, or too many repeated lines. ``n_docs``, ``n_failed``: the host's documents, and those with
+    ``rule_failed``; ``host_rate``: their shrunk rate; ``kept``: not ``base_failed`` and a host rate of at most ``max_rate``. Null texts
     have no words and so fail; null hosts are one host; repeated rows get a row each; an empty table gives no rows.
     """
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
@@ -79,9 +82,9 @@ def judge(docs: DataFrame, *, host: str = "source", max_rate: float = 0.5, min_w
     measured = checkpointed(measure(docs, host=host).withColumn("base_failed", base).withColumn("rule_failed", rule))
     # Read from the checkpoint, both sides of the join are plain scans, so a hot host's side can be split.
     hosts = checkpointed(host_rates(measured, F.col("rule_failed")))
-    verdict = hosts.where(F.col("rate") > max_rate).select(F.col("host").alias("bad_host"), F.lit(True).alias("host_failed"), F.col("rate").alias("host_rate"))
-    return measured.join(verdict, F.col("host").eqNullSafe(F.col("bad_host")), "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("host_failed").isNull()).alias("kept"), "rule_failed", F.coalesce("host_failed", F.lit(False)).alias("host_failed")
+    verdict = hosts.select(F.col("host").alias("known_host"), "n_docs", "n_failed", F.col("rate").alias("host_rate"), (F.col("rate") > max_rate).alias("host_failed"))
+    return measured.join(verdict, F.col("host").eqNullSafe(F.col("known_host"))).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"), "rule_failed", "host_failed", "n_docs", "n_failed", "host_rate"
     )
 
 
@@ -100,11 +103,10 @@ m AS (SELECT w.doc_id, w.source, len(w)::BIGINT AS n_words, length(translate(t,
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 f AS (SELECT *, base_failed OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 30 * n_lines AS rule_failed FROM b),
 hosts AS (SELECT source, count(*) AS n, sum(CASE WHEN rule_failed THEN 1 ELSE 0 END) AS k FROM f GROUP BY source),
-prior AS (SELECT avg(k / n) AS m, var_pop(k / n) AS v FROM hosts),
-s AS (SELECT m, CASE WHEN v > 0 AND m * (1 - m) > v THEN m * (1 - m) / v - 1 ELSE 1.0 END AS z FROM prior),
-bad AS (SELECT source FROM hosts, s WHERE (k + m * z) / (n + z) > 0.5)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT coalesce(EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM f.source), false) AS kept, rule_failed,
-       EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM f.source) AS host_failed
-FROM f
+prior AS (SELECT avg(k / n) AS m, avg(k / n) * (1 - avg(k / n)) AS u, var_pop(k / n) - avg(k / n) * (1 - avg(k / n)) * avg(1 / n) AS v FROM hosts),
+s AS (SELECT m, v, CASE WHEN u > v THEN u / v - 1 ELSE 1.0 END AS z FROM prior),
+rates AS (SELECT source, n, k, CASE WHEN v <= 0 THEN m ELSE (k + m * z) / (n + z) END AS rate FROM hosts, s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept, rule_failed,
+       rate > 0.5 AS host_failed, rates.n::BIGINT AS n_docs, rates.k::BIGINT AS n_failed, round(rate, 6) AS host_rate
+FROM f JOIN rates ON rates.source IS NOT DISTINCT FROM f.source
 """

@@ -20,7 +20,8 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(_table(spark, sf_dir, "documents"))
+    judged = quality.judge(_table(spark, sf_dir, "documents"))
+    return judged.withColumn("host_rate", F.round("host_rate", 6))
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
