@@ -5,6 +5,7 @@ Every stage but the last returns the columns of ``documents``; the last returns
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -17,8 +18,9 @@ from tokenloom.llm._store import written
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """The rows whose ``doc_id`` is not in ``rejected``; a null id is in nothing."""
-    gone = rejected.select(F.col("doc_id").alias("gone")).where("gone is not null").distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = f"_gone_{uuid.uuid4().hex}"
+    ids = rejected.select(F.col("doc_id").cast("long").alias(gone)).where(F.col(gone).isNotNull()).distinct()
+    return docs.join(ids, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7. Of each group of near-duplicates (five-word shingles, similarity 0.8) the document of least id stays."""
+    """Operator 7. Of each group of near-duplicates (five-word shingles, similarity 0.8) the document of least id stays.
+
+    Rows of one id are one document, and stay or go together.
+    """
     return _without(docs, minhash.near_duplicates(docs).where(~F.col("kept")))
 
 

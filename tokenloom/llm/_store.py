@@ -10,13 +10,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder.
+#: Used only where a local session names no folder.
 FALLBACK_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; also the session's checkpoint folder afterwards."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = folder or FALLBACK_DIR
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
