@@ -1,4 +1,5 @@
 import collections
+import functools
 import hashlib
 import random
 import re
@@ -539,27 +540,27 @@ def test_chain_leaves_out_unreached_and_torn_records():
 # Language model
 
 
-def slow_ctw(train, text):
-    """Context-tree weighting with dictionaries, bit by bit."""
-    counts = collections.defaultdict(lambda: [0, 0])
-    lower = lambda t: bytes(b + 32 if 65 <= b <= 90 else b for b in t) + b"\xff"
+def ctw_walk(t):
+    data = bytes(ctw.DEPTH) + bytes(b + 32 if 65 <= b <= 90 else b for b in t) + b"\xff"
+    for i in range(ctw.DEPTH, len(data)):
+        node = 1
+        for k in range(7, -1, -1):
+            bit = data[i] >> k & 1
+            yield [(data[i - d : i], node) for d in range(ctw.DEPTH + 1)], bit
+            node = node * 2 + bit
 
-    def walk(t):
-        data = bytes(ctw.DEPTH) + lower(t)
-        for i in range(ctw.DEPTH, len(data)):
-            node = 1
-            for k in range(7, -1, -1):
-                bit = data[i] >> k & 1
-                yield [(data[i - d : i], node) for d in range(ctw.DEPTH + 1)], bit
-                node = node * 2 + bit
 
+@functools.cache
+def ctw_tree(train):
+    """Counts and shares by node, with dictionaries."""
+    counts = collections.defaultdict(lambda: [0, 0])
     for t in train:
-        for path, bit in walk(t):
+        for path, bit in ctw_walk(t):
             for key in path:
                 counts[key][bit] += 1
     weights, shares = {}, {}
     children = collections.defaultdict(list)
-    for context, node in list(counts):
+    for context, node in counts:
         if context:
             children[context[1:], node].append((context, node))
     for key in sorted(counts, key=lambda k: -len(k[0])):
@@ -569,8 +570,14 @@ def slow_ctw(train, text):
         else:
             weights[key] = np.logaddexp(own, sum(weights[c] for c in children[key])) - np.log(2)
             shares[key] = np.exp(own - np.log(2) - weights[key])
+    return counts, shares
+
+
+def slow_ctw(train, text):
+    """Context-tree weighting with dictionaries, bit by bit."""
+    counts, shares = ctw_tree(tuple(train))
     total = 0.0
-    for path, bit in walk(text):
+    for path, bit in ctw_walk(text):
         p = None
         for key in reversed(path):
             n = counts.get(key, [0, 0])
@@ -580,7 +587,9 @@ def slow_ctw(train, text):
     return total
 
 
-def test_language_model_equals_dictionaries(spark):
+@pytest.mark.parametrize("part_rows", [300_000, 150])
+def test_language_model_equals_dictionaries(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(ctw, "PART_ROWS", part_rows)  # of few rows, ranges cut the contexts of all depths
     rng = random.Random(7)
     rows = [(d, "".join(rng.choices("abC é\n", k=rng.randrange(80)))) for d in range(30)] + [(100, None), (101, ""), (3, "abc")]
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows}

@@ -11,15 +11,17 @@ so that all depths are mixed by how well they have coded the training texts. The
 training; a text's code length is the sum of its bytes' under the mixture.
 
 All this depends on the training texts only through the counts of ``DEPTH + 1`` consecutive bytes
-(grams). They are counted in the tasks, added up by one shuffle, and dealt by their last two context
-bytes, so that every context of depth two or more has its subtree in one partition. What is above, at most
-256 contexts, is mixed on the driver; then each partition gives its grams their log-probabilities.
+(grams). They are counted in the tasks, added up by one shuffle, and dealt in ranges of their contexts, read from the
+last byte back, so that a subtree lies in one partition or in neighbouring ones, and partitions are of
+one size however common a context is. Only contexts on the two edges of a range can be in several partitions; these few
+nodes' counts and weights are put together on the driver, and then each partition gives its grams their log-probabilities.
 Grams that only held-out texts have are counted too, as zero, so the table has every gram needed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -118,101 +120,134 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1) - np.log(np.pi)
 
 
+def parents(keys: np.ndarray, depth: int) -> np.ndarray:
+    """Keys of the nodes at ``depth`` above these nodes."""
+    return (((keys >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)) << np.uint64(8)) | (keys & np.uint64(255))
+
+
+def mixed(own: np.ndarray, deeper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of Pw, and the share of Pe in it."""
+    weighted = np.logaddexp(own, deeper) - _LOG2
+    return weighted, np.exp(own - _LOG2 - weighted)
+
+
+#: Contexts of so many bytes, and those below them, lie in one partition; such a context has at most 65,536 grams.
+SPLIT = DEPTH - 1
+#: Grams that a partition is to have.
+PART_ROWS = 300_000
+
+
+def newest_first(key: Column) -> Column:
+    """The last ``SPLIT`` context bytes of a gram as a number, the last byte highest: the contexts of a subtree are neighbours in this order."""
+    byte = [F.shiftrightunsigned(key, 8 * (k + 1)).bitwiseAND(255) for k in range(SPLIT)]
+    return reduce(Column.bitwiseOR, (F.shiftleft(b, 8 * (SPLIT - 1 - k)) for k, b in enumerate(byte)))
+
+
 class Levels:
-    """The nodes that some grams' bits visit at depths ``top`` to ``DEPTH``; a node's key is its context and its predictor."""
+    """The nodes that some grams' bits visit, by depth; a node's key is its context and its predictor.
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, top: int):
+    The grams are all those whose contexts lie between two in the order of ``newest_first``. So a node is complete here
+    unless its context ends the first or the last of them: ``shared`` marks these, and the root's.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
         byte, context = keys & np.uint64(255), keys >> np.uint64(8)
         bit = np.arange(8, dtype=np.uint64)[:, None]
         predictor = (np.uint64(1) << bit) | (byte[None, :] >> (np.uint64(8) - bit))
         self.ones = ((byte[None, :] >> (np.uint64(7) - bit)) & np.uint64(1)).astype(bool)
         weight = np.broadcast_to(counts.astype(float), predictor.shape)
-        self.top, self.keys, self.place, self.zeros_n, self.ones_n = top, {}, {}, {}, {}
-        for d in range(top, DEPTH + 1):
-            node = ((context & np.uint64((1 << 8 * d) - 1))[None, :] << np.uint64(8)) | predictor
-            unique, place = np.unique(node.reshape(-1), return_inverse=True)
-            self.keys[d], self.place[d] = unique, place.reshape(node.shape)
-            flat = place.reshape(-1)
-            self.ones_n[d] = np.bincount(flat, (weight * self.ones).reshape(-1), len(unique))
-            self.zeros_n[d] = np.bincount(flat, (weight * ~self.ones).reshape(-1), len(unique))
-        self.weighted, self.leaf = {}, {}
-        for d in range(DEPTH, top - 1, -1):
-            own = log_kt(self.zeros_n[d], self.ones_n[d])
-            if d == DEPTH:
-                self.weighted[d] = own
-            else:
-                deeper = np.bincount(np.searchsorted(self.keys[d], parents(self.keys[d + 1], d)), self.weighted[d + 1], len(own))
-                self.weighted[d], self.leaf[d] = mixed(own, deeper)
+        unique, place = np.unique(((context[None, :] << np.uint64(8)) | predictor).reshape(-1), return_inverse=True)
+        self.place = place.reshape(predictor.shape).astype(np.int32)  # of each bit's deepest node
+        flat = self.place.reshape(-1)
+        self.keys, self.above = {DEPTH: unique}, {}
+        self.ones_n = {DEPTH: np.bincount(flat, (weight * self.ones).reshape(-1), len(unique))}
+        self.zeros_n = {DEPTH: np.bincount(flat, (weight * ~self.ones).reshape(-1), len(unique))}
+        for d in range(DEPTH - 1, -1, -1):
+            self.keys[d], place = np.unique(parents(self.keys[d + 1], d), return_inverse=True)
+            self.above[d + 1] = place.reshape(-1)
+            self.zeros_n[d], self.ones_n[d] = (np.bincount(self.above[d + 1], n[d + 1], len(self.keys[d])) for n in (self.zeros_n, self.ones_n))
+        order = np.zeros(len(keys), np.uint64)
+        for k in range(SPLIT):
+            order = (order << np.uint64(8)) | ((context >> np.uint64(8 * k)) & np.uint64(255))
+        ends = context[[order.argmin(), order.argmax()]]
+        self.shared = {d: np.isin(self.keys[d] >> np.uint64(8), ends & np.uint64((1 << 8 * d) - 1)) for d in range(SPLIT)}
+        weighted = log_kt(self.zeros_n[DEPTH], self.ones_n[DEPTH])
+        self.leaf, self.deeper = {}, {}
+        for d in range(DEPTH - 1, -1, -1):
+            whole = weighted if d + 1 >= SPLIT else np.where(self.shared[d + 1], 0.0, weighted)
+            self.deeper[d] = np.bincount(self.above[d + 1], whole, len(self.keys[d]))
+            weighted, self.leaf[d] = mixed(log_kt(self.zeros_n[d], self.ones_n[d]), self.deeper[d])
+
+    def partial(self) -> tuple[np.ndarray, ...]:
+        """Of each shared node: depth, key, zeros, ones, and the sum of log Pw over the complete nodes right below it."""
+        at = [np.flatnonzero(self.shared[d]) for d in range(SPLIT)]
+        depth = np.repeat(np.arange(SPLIT, dtype=np.int32), [len(x) for x in at])
+        return depth, *(np.concatenate([x[d][at[d]] for d in range(SPLIT)]) for x in (self.keys, self.zeros_n, self.ones_n, self.deeper))
+
+    def complete(self, nodes: list[tuple[np.ndarray, ...]]) -> None:
+        """Takes the shared nodes' counts and shares of Pe from ``nodes``, as ``resolved`` gives them."""
+        for d, (names, zeros, ones, leaf) in enumerate(nodes):
+            mine = np.flatnonzero(self.shared[d])
+            at = np.searchsorted(names, self.keys[d][mine])
+            self.zeros_n[d][mine], self.ones_n[d][mine], self.leaf[d][mine] = zeros[at], ones[at], leaf[at]
 
     def bits(self) -> np.ndarray:
-        """For each bit of each gram, its probability under the mixture of depths ``top`` to ``DEPTH``."""
-        out = None
-        for d in range(DEPTH, self.top - 1, -1):
-            n1, n0 = self.ones_n[d][self.place[d]], self.zeros_n[d][self.place[d]]
-            own = (np.where(self.ones, n1, n0) + 0.5) / (n0 + n1 + 1)
-            out = own if out is None else (leaf := self.leaf[d][self.place[d]]) * own + (1 - leaf) * out
+        """For each bit of each gram, its probability under the mixture of all depths."""
+        chance = []  # by node, of a zero and of a one; a node's mixture needs only its own way up
+        for d in range(DEPTH + 1):
+            total = self.zeros_n[d] + self.ones_n[d] + 1
+            chance.append([(n[d] + 0.5) / total for n in (self.zeros_n, self.ones_n)])
+        place, out = self.place, None
+        for d in range(DEPTH, -1, -1):
+            own = np.where(self.ones, chance[d][1][place], chance[d][0][place])
+            out = own if out is None else (leaf := self.leaf[d][place]) * own + (1 - leaf) * out
+            if d:
+                place = self.above[d][place]
         return out
 
 
-def parents(keys: np.ndarray, depth: int) -> np.ndarray:
-    """Keys of the nodes at ``depth`` above these nodes."""
-    return (((keys >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)) << np.uint64(8)) | (keys & np.uint64(255))
-
-
-def mixed(own: np.ndarray, deeper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Logarithms of Pw, and the share of Pe in it."""
-    weighted = np.logaddexp(own, deeper) - _LOG2
-    return weighted, np.exp(own - _LOG2 - weighted)
-
-
-#: Depth of the subtrees that lie in one partition.
-SPLIT = 2
+def resolved(depth: np.ndarray, node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, deeper: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """For each depth above ``SPLIT`` the shared nodes in order, their counts, and the share of Pe; the sums are over all partitions."""
+    out: list[tuple[np.ndarray, ...]] = []
+    below: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0))
+    for d in range(SPLIT - 1, -1, -1):
+        mine = np.flatnonzero(depth == d)
+        mine = mine[np.argsort(node[mine])]
+        names, children = node[mine], deeper[mine]
+        children = children + np.bincount(np.searchsorted(names, parents(below[0], d)), below[1], len(names))
+        weighted, leaf = mixed(log_kt(zeros[mine], ones[mine]), children)
+        below = names, weighted
+        out.insert(0, (names, zeros[mine], ones[mine], leaf))
+    return out
 
 
 def gram_scores(counts: DataFrame) -> DataFrame:
     """``key`` and ``score`` (log10 probability of its last byte after the others) of the grams in ``counts`` (``key``, ``n``)."""
     spark = counts.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    dealt = counts.select("key", "n", F.shiftrightunsigned("key", 8).bitwiseAND((1 << 8 * SPLIT) - 1).alias("context")).repartition(parts, "context").select("key", "n")
-    dealt = checkpointed(dealt)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-counts.count() // PART_ROWS))
+    dealt = checkpointed(counts.select("key", "n").repartitionByRange(parts, newest_first(F.col("key"))))
 
     def gathered(batches: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
         tables = [(b.column("key").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), b.column("n").to_numpy(zero_copy_only=False)) for b in batches]
         return (np.concatenate([k for k, _ in tables]), np.concatenate([n for _, n in tables])) if tables else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
-    def tops(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each predictor and last byte: bits seen, and the sum of the subtrees' log Pw."""
+    def edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = gathered(batches)
         if len(keys):
-            tree = Levels(keys, n, SPLIT)
-            above = parents(tree.keys[SPLIT], SPLIT - 1)
-            unique, place = np.unique(above, return_inverse=True)
-            sums = [np.bincount(place.reshape(-1), x, len(unique)) for x in (tree.zeros_n[SPLIT], tree.ones_n[SPLIT], tree.weighted[SPLIT])]
-            yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), *map(pa.array, sums)], ["node", "zeros", "ones", "deeper"])
-
-    # At most 256 last bytes times 255 predictors, however large the corpus is.
-    rows = dealt.mapInArrow(tops, "node long, zeros double, ones double, deeper double").groupBy("node").agg(F.sum("zeros"), F.sum("ones"), F.sum("deeper")).orderBy("node").toArrow()
-    node, zeros, ones, deeper = (rows.column(i).to_numpy() for i in range(4))
-    node = node.astype(np.int64).view(np.uint64)
-    weighted, leaf = mixed(log_kt(zeros, ones), deeper)
-    root, place = np.unique(parents(node, 0), return_inverse=True)
-    place = place.reshape(-1)
-    root_zeros, root_ones = (np.bincount(place, x, len(root)) for x in (zeros, ones))
-    _, root_leaf = mixed(log_kt(root_zeros, root_ones), np.bincount(place, weighted, len(root)))
-    shipped = spark.sparkContext.broadcast((node, zeros, ones, leaf, root, root_zeros, root_ones, root_leaf))
+            depth, node, *sums = Levels(keys, n).partial()
+            yield pa.RecordBatch.from_arrays([pa.array(depth), pa.array(node.view(np.int64)), *map(pa.array, sums)], ["depth", "node", "zeros", "ones", "deeper"])
+
+    # At most 255 predictors of two contexts of each depth for a partition, whatever the partition holds.
+    rows = dealt.mapInArrow(edges, "depth int, node long, zeros double, ones double, deeper double").groupBy("depth", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("deeper")).toArrow()
+    depth, node, zeros, ones, deeper = (rows.column(i).to_numpy() for i in range(5))
+    shipped = spark.sparkContext.broadcast(resolved(depth, node.astype(np.int64).view(np.uint64), zeros, ones, deeper))
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = gathered(batches)
-        if not len(keys):
-            return
-        node, zeros, ones, leaf, root, root_zeros, root_ones, root_leaf = shipped.value
-        tree = Levels(keys, n, SPLIT)
-        chance = tree.bits()
-        for d, (names, n0, n1, share) in ((1, (node, zeros, ones, leaf)), (0, (root, root_zeros, root_ones, root_leaf))):
-            at = np.searchsorted(names, parents(tree.keys[SPLIT], d))[tree.place[SPLIT]]
-            own = (np.where(tree.ones, n1[at], n0[at]) + 0.5) / (n0[at] + n1[at] + 1)
-            chance = share[at] * own + (1 - share[at]) * chance
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.log10(chance).sum(axis=0))], ["key", "score"])
+        if len(keys):
+            tree = Levels(keys, n)
+            tree.complete(shipped.value)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.log10(tree.bits()).sum(axis=0))], ["key", "score"])
 
     return dealt.mapInArrow(scored, "key long, score double")
 
