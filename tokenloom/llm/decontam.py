@@ -5,9 +5,9 @@ of ``window`` consecutive item words, with a space at either end, so a match is
 words. Each text is normalised and scanned once; match ends are mapped to word numbers and, for
 matched documents, to code-point spans of the original text.
 
-The items are the stated query set. Their windows are dealt to blocks of at most ``block_chars``
-characters; a block's automaton is what a worker holds at a time, so memory is bounded however many
-items there are, and usually one block holds them all.
+The items are the stated query set. Their windows are dealt by hash to blocks of about ``block_chars``
+characters, and usually one block holds them all. A block is one pass over the texts, with one automaton that a task builds
+once; what the passes find is carried along with the text. So memory is bounded however many items there are.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import checkpointed, discard, written
 from ._text import utf8, word_table
 
 _TABLE = word_table("alnum").tobytes()
@@ -31,51 +32,76 @@ def words_of(text: str | None) -> list[bytes]:
     return utf8(text).translate(_TABLE).split()
 
 
-def item_windows(items: Iterable[tuple[int | None, str | None]], window: int) -> dict[bytes, tuple[int, tuple[int | None, ...]]]:
-    """Each window with its number of words and the items that have it; a shorter item is one window."""
-    found: dict[bytes, tuple[int, set]] = {}
-    for item, text in items:
-        words = words_of(text)
-        n = min(window, len(words))
-        for i in range(len(words) - n + 1 if n else 0):
-            found.setdefault(b" " + b" ".join(words[i : i + n]) + b" ", (n, set()))[1].add(item)
-    return {k: (n, tuple(sorted(v, key=lambda x: (x is None, x)))) for k, (n, v) in found.items()}
-
-
-def window_blocks(windows: dict, block_chars: int) -> list[list[tuple[bytes, tuple]]]:
-    out: list[list] = [[]]
-    held = 0
-    for key, value in sorted(windows.items()):
-        if out[-1] and held + len(key) > block_chars:
-            out.append([])
-            held = 0
-        out[-1].append((key, value))
-        held += len(key)
-    return out
-
-
-def _automaton(block: list[tuple[bytes, tuple]]):
+def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """``item_id``, ``key`` (a window, with a space at either end), ``n`` (its words); a shorter item is one window."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = words_of(text)
+                n = min(window, len(words))
+                keys = [b" " + b" ".join(words[i : i + n]) + b" " for i in range(len(words) - n + 1 if n else 0)]
+                for k in range(0, len(keys), 10_000):
+                    some = keys[k : k + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(some), pa.int64()), pa.array(some, pa.binary()), pa.array([n] * len(some), pa.int32())], ["item_id", "key", "n"])
+
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return items.mapInArrow(run, "item_id long, key binary, n int").distinct()
+
+
+def _automaton(rows: list[tuple[int | None, bytes, int]]):
+    """The automaton of windows; a window's value is its number of words and the items that have it."""
     import ahocorasick
 
+    found: dict[bytes, tuple[int, set]] = {}
+    for item, key, n in rows:
+        found.setdefault(bytes(key), (n, set()))[1].add(item)
     machine = ahocorasick.Automaton()
-    for key, value in block:
+    for key, value in found.items():
         machine.add_word(key.decode("latin-1"), value)
     machine.make_automaton()
     return machine
 
 
-def _spans(text: str, hit: np.ndarray) -> list[dict[str, int]]:
-    """Code-point spans of the runs of hit words in the original text."""
-    raw = np.frombuffer(utf8(text).translate(_TABLE), np.uint8)
-    inside = raw != 32
+def _spans(text: str, runs: list[int]) -> list[dict[str, int]]:
+    """Code-point spans of the runs of hit words (begin, end, begin, end, ...) in the original text."""
+    raw = utf8(text)
+    inside = np.frombuffer(raw.translate(_TABLE), np.uint8) != 32
     edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
     starts, ends = edge[0::2], edge[1::2]
-    points = np.concatenate([[0], np.cumsum((np.frombuffer(utf8(text), np.uint8) & 0xC0) != 0x80)])
-    runs = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    points = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
     return [{"start": int(points[starts[a]]), "end": int(points[ends[b - 1]])} for a, b in zip(runs[0::2], runs[1::2], strict=True)]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, min_percent: int = 5, block_chars: int = 4_000_000, max_items_chars: int = 64_000_000) -> DataFrame:
+def _one_pass(rows: DataFrame, windows: list[tuple[int | None, bytes, int]]) -> DataFrame:
+    """``rows`` with what occurs of these windows: ``hits``, the begin and end of each run of hit words, and ``owners``, the items."""
+    shipped = rows.sparkSession.sparkContext.broadcast(windows)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = _automaton(shipped.value)
+        for batch in batches:
+            hits, owners = [], []
+            for text, runs, own in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist(), batch.column("owners").to_pylist(), strict=True):
+                joined = b" " + b" ".join(words_of(text)) + b" "
+                got = list(machine.iter(joined.decode("latin-1"))) if len(machine) and len(joined) > 2 else []
+                if got:
+                    gaps = np.cumsum(np.frombuffer(joined, np.uint8) == 32) - 1
+                    hit, found = np.zeros(int(gaps[-1]), bool), set(own)
+                    for begin, end in zip(runs[0::2], runs[1::2], strict=True):
+                        hit[begin:end] = True
+                    for end, (size, items) in got:
+                        hit[gaps[end] - size : gaps[end]] = True
+                        found |= items
+                    runs = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=np.int8(0), append=np.int8(0))).tolist()
+                    own = sorted(found, key=lambda x: (x is None, x))
+                hits.append(runs)
+                owners.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(hits, pa.list_(pa.int64())), pa.array(owners, pa.list_(pa.int64()))], ["doc_id", "text", "hits", "owners"])
+
+    return rows.mapInArrow(run, "doc_id long, text string, hits array<long>, owners array<long>")
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, min_percent: int = 5, block_chars: int = 4_000_000) -> DataFrame:
     """One row per document: how much of it lies in windows of the benchmark.
 
     ``docs``: ``doc_id``, ``text``; ``benchmark``: ``item_id``, ``text``; other columns are ignored.
@@ -83,46 +109,38 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, min_percent
     occurring windows; ``items_sha256``: of those ids sorted as strings and joined by commas;
     ``spans``: hit stretches as code points of the original text. Null and empty texts have no words
     and are never contaminated; null or empty items have no windows; a null item id counts as
-    ``null``; repeated items are one item; repeated documents get a row each. Items of more than
-    ``max_items_chars`` characters in all are refused, as they go to every worker.
+    ``null``; repeated items are one item; repeated documents get a row each. Texts are read once for every
+    ``block_chars`` characters of windows.
     """
-    size = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    if size > max_items_chars:
-        raise ValueError(f"the benchmark has {size} characters, more than max_items_chars={max_items_chars}")
-    items = [(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).collect()]
-    windows = docs.sparkSession.sparkContext.broadcast(window_blocks(item_windows(items, window), block_chars))
+    windows = item_windows(benchmark, window)
+    windows = checkpointed(windows)
+    n_blocks = -(-windows.agg(F.coalesce(F.sum(F.length("key")), F.lit(0))).first()[0] // block_chars) or 1
+    none = F.array().cast("array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), none.alias("hits"), none.alias("owners"))
+    before = None
+    for k in range(n_blocks):
+        block = windows.where(F.pmod(F.xxhash64("key"), F.lit(n_blocks)) == k).select("item_id", "key", "n").collect()  # about block_chars characters
+        rows = _one_pass(rows, [tuple(r) for r in block])
+        if k < n_blocks - 1:
+            rows = written(rows)
+            if before is not None:
+                discard(before)
+            before = rows
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = windows.value
-        kept = _automaton(blocks[0]) if len(blocks) == 1 else None
         for batch in batches:
-            keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            matches: list[list[tuple[int, tuple]]] = [[] for _ in texts]
-            counts = [0] * len(texts)
-            for k, block in enumerate(blocks):
-                machine = kept or _automaton(block)
-                for i, text in enumerate(texts):
-                    words = words_of(text)
-                    counts[i] = len(words)
-                    if words and block:
-                        matches[i] += machine.iter(f" {b' '.join(words).decode('latin-1')} ")
-            rows = []
-            for key, text, n, got in zip(keys, texts, counts, matches, strict=True):
-                hit, found = np.zeros(n, bool), set()
-                if got:
-                    gaps = np.cumsum(np.frombuffer(b" " + b" ".join(words_of(text)) + b" ", np.uint8) == 32) - 1
-                    for end, (size, owners) in got:
-                        hit[gaps[end] - size : gaps[end]] = True
-                        found.update(owners)
-                n_hit = int(hit.sum())
-                names = sorted("null" if x is None else str(x) for x in found)
-                rows.append((key, n, n_hit, len(found), hashlib.sha256(",".join(names).encode()).hexdigest(), n_hit > 0 and 100 * n_hit >= min_percent * n, sorted(x for x in found if x is not None), _spans(text, hit) if n_hit else []))
-            columns = list(zip(*rows, strict=True)) or [()] * 8
+            out = []
+            for key, text, runs, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "hits", "owners")), strict=True):
+                n = len(words_of(text))
+                n_hit = sum(runs[1::2]) - sum(runs[0::2])
+                names = sorted("null" if x is None else str(x) for x in own)
+                out.append((key, n, n_hit, len(own), hashlib.sha256(",".join(names).encode()).hexdigest(), n_hit > 0 and 100 * n_hit >= min_percent * n, [x for x in own if x is not None], _spans(text, runs) if n_hit else []))
+            columns = list(zip(*out, strict=True)) or [()] * 8
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
             names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "spans"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, SCHEMA)
 
 
 SCAN_SQL = """
