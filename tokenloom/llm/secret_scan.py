@@ -22,13 +22,16 @@ from .automata import Dfa, compile_patterns, find_ends, longest_match
 
 @dataclass(frozen=True)
 class Rule:
-    """A secret of kind ``kind``: ``prefix``, then ``value`` of at least ``min_value`` bytes; shorter matches are dropped. ``scan_value``: what the combined automaton looks for in place of ``value``."""
+    """A secret of kind ``kind``: ``prefix``, then ``value`` of at least ``min_value`` bytes; shorter matches are dropped. ``scan_value``: what the combined automaton looks for in place of ``value``.
+
+    ``tail``: if this follows, the span takes it in; it may run over bytes that end all other matches."""
 
     kind: str
     prefix: str
     value: str
     min_value: int
     scan_value: str | None = None
+    tail: str | None = None
 
 
 BASE_RULES = (
@@ -40,7 +43,7 @@ BASE_RULES = (
 MORE_RULES = (
     Rule("forge", r"gh[pousr]_", r"[A-Za-z0-9]+", 36),
     Rule("jwt", r"eyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]+\.", r"[A-Za-z0-9_\-]+", 10),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY", r"-+", 5),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY", r"-+", 5, None, r"[A-Za-z0-9+/=:,.\\\x09\x0A\x0D\x20]*-----END [A-Z ]*PRIVATE KEY-----"),
 )
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<kind:string,start:long,end:long>>"
 
@@ -52,6 +55,7 @@ class Scanner:
         self.rules = rules
         self.combined = compile_patterns([r.prefix + (r.scan_value or r.value) for r in rules], anchored=False)
         self.parts = [(compile_patterns([r.prefix], anchored=True), compile_patterns([r.value], anchored=True)) for r in rules]
+        self.tails = [compile_patterns([r.tail], anchored=True) if r.tail else None for r in rules]
         both = [compile_patterns([r.prefix + r.value], anchored=True) for r in rules]
         self.firsts = [self._first(d) for d in both]
         reset = np.flatnonzero(self.combined.resets)
@@ -85,6 +89,11 @@ class Scanner:
             if stop - middle >= self.rules[rule].min_value:
                 yield p, stop
 
+    def _whole(self, rule: int, data: bytes, stop: int, end: int) -> int:
+        """Where a span that stops here ends with its tail."""
+        tail = self.tails[rule]
+        return max(stop, longest_match(tail, data, stop, end)) if tail else stop
+
     def spans(self, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
         """For each text its spans ``(start, rule, end)`` in bytes, by start and then rule."""
         data = self.gap.join(texts) + self.gap
@@ -103,7 +112,7 @@ class Scanner:
             base = int(first[text])
             for r in range(len(self.rules)):
                 if own >> r & 1:
-                    out[text] += [(a - base, r, b - base) for a, b in self._resolve(r, data, begin, end)]
+                    out[text] += [(a - base, r, self._whole(r, data, b, int(first[text + 1]) - 1) - base) for a, b in self._resolve(r, data, begin, end)]
         return [sorted(x) for x in out]
 
 
