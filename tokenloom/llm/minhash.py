@@ -3,7 +3,7 @@
 Documents of the same word sequence are one class. A class representative's signature has
 ``BANDS * ROWS`` minima; representatives that agree in a band share a bucket. Candidates are compared
 batch by batch of their signatures; with a uniform prior on the similarity, a pair is dropped once the posterior
-probability that it reaches the threshold is below ``MISS``. What survives is verified on the full shingle sets.
+probability that it reaches the threshold is below its batch's share of ``MISS``. What survives is verified on the full shingle sets.
 
 Buckets can be large, so their pairs are not made. First each member is compared with its bucket's leader, the
 member that meets most others over all buckets. Linked members are joined to components; then only
@@ -29,7 +29,7 @@ from ._text import LOWER, Words, blocks, mix64, word_table
 from .components import components
 
 BANDS, ROWS = 48, 8
-#: Posterior probability of a link below which a candidate is dropped.
+#: Chance that all batches together drop a link, as posterior probability; each batch has an equal share.
 MISS = 1e-5
 #: Minima that are compared at a time.
 BATCH = 32
@@ -111,7 +111,7 @@ def least_matches(threshold_percent: int, miss: float) -> tuple[int, ...]:
 def survivors(left: np.ndarray, right: np.ndarray, threshold_percent: int) -> np.ndarray:
     """Row numbers of the pairs of signatures that no batch drops."""
     rows, matches = np.arange(len(left)), np.zeros(len(left), np.int64)
-    for k, least in enumerate(least_matches(threshold_percent, MISS)):
+    for k, least in enumerate(least_matches(threshold_percent, MISS * BATCH / (BANDS * ROWS))):
         part = slice(k * BATCH, (k + 1) * BATCH)
         matches = matches + (left[rows, part] == right[rows, part]).sum(axis=1)
         stay = matches >= least
