@@ -303,6 +303,38 @@ def test_toxicity_learns_and_leaves_clean_text(spark):
     assert {r.doc_id: r.held_out for r in found}[7] == (zlib.crc32(b"7") % 5 == 0)
 
 
+@pytest.mark.parametrize("bias, negative", [(1.0, False), (-4.0, True)])
+def test_risk_of_pu_learning_by_hand(bias, negative):
+    rng = np.random.default_rng(2)
+    x = [(rng.random((n, 5)) < 0.4).astype(float) for n in (7, 11)]
+    theta, prior = np.append(rng.normal(size=5), bias), 0.6
+    if negative:
+        theta[:5] += 3 * (x[0].mean(0) > 0.4)
+    sides = [(np.nonzero(m)[1], np.nonzero(m)[0], len(m)) for m in x]
+
+    def slow(t):
+        margins = [[sum(t[j] for j in range(5) if row[j]) + t[5] for row in m] for m in x]
+        mean = lambda v: sum(v) / len(v)
+        clean = mean([np.log1p(np.exp(z)) for z in margins[1]]) - prior * mean([np.log1p(np.exp(z)) for z in margins[0]])
+        return clean, -clean if clean < 0 else prior * mean([np.log1p(np.exp(-z)) for z in margins[0]]) + clean
+
+    clean, gradient = toxicity.risk(theta, sides, prior)
+    assert (clean < 0) == negative and abs(clean - slow(theta)[0]) < 1e-12
+    for j in range(6):
+        step = np.zeros(6)
+        step[j] = 1e-6
+        assert abs((slow(theta + step)[1] - slow(theta - step)[1]) / 2e-6 - gradient[j]) < 1e-6
+
+
+def test_features_are_counted_over_all_rows(spark):
+    texts = ["vile thing", "vile vile", None, "", "thing else", "vileness"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    words = np.unique(toxicity.features([b"vile thing absent"])[1])
+    counts, n = toxicity.document_counts(docs, words)
+    sets = [set(toxicity.features([(t or "").encode()])[1].tolist()) for t in texts]
+    assert n == len(texts) and counts.tolist() == [sum(w in s for s in sets) for w in words.tolist()]
+
+
 # Near-duplicates
 
 

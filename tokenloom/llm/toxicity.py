@@ -10,8 +10,8 @@ negative, the step ascends instead, so the model can't fit the negative part awa
 and id of a document are no features.
 
 The samples are bounded (parameters), taken by a hash of the id, and reach the driver as feature hashes.
-Features are those that positives have clearly oftener than text at large. Scoring is a look-up of the
-model's features, at most ``max_features`` of them, in one pass over the texts.
+Features are those that positives have clearly oftener than text at large, as counted over all training documents
+in one pass. Scoring is a look-up of the model's features, at most ``max_features`` of them, in another.
 """
 
 from __future__ import annotations
@@ -49,12 +49,10 @@ def features(texts: list[bytes], wanted: Callable[[np.ndarray], np.ndarray] | No
 
 
 @dataclass(frozen=True)
-class Model:
-    """``score = sigmoid(bias + sum of weights[w] over the distinct features w of a text)``; ``words`` are sorted hashes."""
+class Features:
+    """Sorted feature hashes that texts are searched for."""
 
     words: np.ndarray
-    weights: np.ndarray
-    bias: float
 
     @cached_property
     def _likely(self) -> np.ndarray:
@@ -63,83 +61,134 @@ class Model:
         table[(self.words >> np.uint64(44)).astype(np.int64)] = True
         return table
 
+    def found(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's distinct features: numbers of texts, and places in ``words``."""
+        if not len(self.words):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        text, hashes = features(texts, lambda h: self._likely[(h >> np.uint64(44)).astype(np.int64)])
+        place = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        known = self.words[place] == hashes
+        pairs = np.unique(text[known] * len(self.words) + place[known])
+        return pairs // len(self.words), pairs % len(self.words)
+
+
+@dataclass(frozen=True)
+class Model:
+    """``score = sigmoid(bias + sum of weights[w] over the distinct features w of a text)``; ``words`` are sorted hashes."""
+
+    words: np.ndarray
+    weights: np.ndarray
+    bias: float
+
+    @cached_property
+    def _features(self) -> Features:
+        return Features(self.words)
+
     def score(self, texts: list[bytes]) -> np.ndarray:
-        total = np.full(len(texts), self.bias)
-        if len(self.words):
-            text, hashes = features(texts, lambda h: self._likely[(h >> np.uint64(44)).astype(np.int64)])
-            place = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            known = self.words[place] == hashes
-            pairs = np.unique(text[known] * len(self.words) + place[known])
-            total += np.bincount(pairs // len(self.words), self.weights[pairs % len(self.words)], len(texts))
+        text, place = self._features.found(texts)
+        total = self.bias + np.bincount(text, self.weights[place], len(texts))
         return 1 / (1 + np.exp(-np.clip(total, -50, 50)))
 
 
-def word_sets(docs: DataFrame) -> DataFrame:
-    """``positive`` and ``words`` (sorted distinct feature hashes) of each row."""
+def document_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many rows of ``docs`` have each of the sorted feature hashes, and how many rows there are.
+
+    Each task sends one count for each feature that it met, so the shuffle is bounded by features, not by texts.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(Features(words))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, n = np.zeros(len(words), np.int64), 0
+        for batch in batches:
+            for _, texts in blocks(batch.column("text").to_pylist()):
+                counts += np.bincount(shipped.value.found(texts)[1], minlength=len(words))
+                n += len(texts)
+        met = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(met, -1)), pa.array(np.append(counts[met], n))], ["place", "n"])
+
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    place, n = rows.column("place").to_numpy(), rows.column("n").to_numpy()
+    out = np.zeros(len(words), np.int64)
+    out[place[place >= 0]] = n[place >= 0]
+    return out, int(n[place < 0].sum())
+
+
+def _lists(docs: DataFrame, split: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """For each row of ``docs`` the sorted distinct values that ``split`` gives with numbers of texts, as views of received buffers; in an order of their own, as tasks end in any."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for _, texts in blocks(batch.column("text").to_pylist()):
-                text, hashes = features(texts)
-                order = np.lexsort((hashes, text))
-                text, hashes = text[order], hashes[order]
+                text, values = split(texts)
+                order = np.lexsort((values, text))
+                text, values = text[order], values[order]
                 first = np.searchsorted(text, np.arange(len(texts) + 1))
-                out += [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(out, pa.list_(pa.int64()))], ["positive", "words"])
+                out += [np.unique(values[a:b]).view(np.int64) for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], ["values"])
+
+    out: list[np.ndarray] = []
+    for part in docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "values array<long>").toArrow().column("values").chunks:
+        values, first = part.flatten().to_numpy(), part.offsets.to_numpy() - part.offsets[0].as_py()
+        out += [values[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+    return sorted(out, key=lambda x: (len(x), x.tobytes()))
+
 
-    return docs.select("positive", "text").mapInArrow(run, "positive boolean, words array<long>")
+def word_sets(docs: DataFrame) -> list[np.ndarray]:
+    """The distinct feature hashes of each row; of equal sets one."""
+    every = _lists(docs, features)
+    return [x.view(np.uint64) for i, x in enumerate(every) if i == 0 or not np.array_equal(x, every[i - 1])]
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, max_features: int = 20_000, min_documents: int = 4, min_share: float = 0.02, min_lift: float = 3.0, min_z: float = 6.0, steps: int = 400, rate: float = 0.1, decay: float = 1e-5) -> Model:
-    """Non-negative PU training, by Adam over the whole samples, on the presence of features. Without positives or unlabelled texts the model scores the prior.
+def presence(docs: DataFrame, words: np.ndarray) -> list[np.ndarray]:
+    """The places in ``words`` of each row's features."""
+    shipped = docs.sparkSession.sparkContext.broadcast(Features(words))
+    return _lists(docs, lambda texts: shipped.value.found(texts))
 
-    Features: those of at least ``min_documents`` and ``min_share`` of the different positives, ``min_lift`` times as common there as in unlabelled
-    text, and by ``min_z`` standard deviations; at most ``max_features``, those that tell most.
+
+def choose(positive: list[np.ndarray], count: Callable[[np.ndarray], tuple[np.ndarray, int]], *, max_features: int = 20_000, min_documents: int = 4, min_lift: float = 3.0, min_z: float = 6.0) -> np.ndarray:
+    """The sorted features of at least ``min_documents`` of the positives, ``min_lift`` times as common there as in all training
+    text, which ``count`` counts, and by ``min_z`` standard deviations; at most ``max_features``, those that tell most.
     """
-    prior = min(max(prior, 1e-4), 0.9)
-    bias = float(np.log(prior / (1 - prior)))
-    if not positive or not unlabelled:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), bias)
-    positive = [np.frombuffer(x, np.uint64) for x in sorted({x.tobytes() for x in positive})]  # copies tell nothing more
-    words, counts = np.unique(np.concatenate(positive), return_counts=True)
-    often = counts >= max(min_documents, min_share * len(positive))
-    words, counts = words[often], counts[often]
-    every, seen = np.unique(np.concatenate(unlabelled), return_counts=True)
-    place = np.minimum(np.searchsorted(every, words), max(len(every) - 1, 0))
-    general = np.where(every[place] == words, seen[place], 0) if len(every) else np.zeros(len(words))
-    p, q = (counts + 0.5) / (len(positive) + 1), (general + 0.5) / (len(unlabelled) + 1)
+    words, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *positive]), return_counts=True)
+    words, counts = words[counts >= min_documents], counts[counts >= min_documents]
+    if not len(words):
+        return words
+    general, total = count(words)
+    p, q = (counts + 0.5) / (len(positive) + 1), (general + 0.5) / (total + 1)
     gain = counts * np.log(p / q)
     z = (counts - len(positive) * q) / np.sqrt(len(positive) * q * (1 - np.minimum(q, 0.999)))
     chosen = np.flatnonzero((p >= min_lift * q) & (z >= min_z))
-    chosen = np.sort(chosen[np.argsort(-gain[chosen], kind="stable")[:max_features]])
-    words = words[chosen]
-    if not len(words):
-        return Model(words, np.zeros(0), bias)
-
-    def rows(sets: list[np.ndarray]) -> list[np.ndarray]:
-        out = []
-        for s in sets:
-            at = np.minimum(np.searchsorted(words, s), len(words) - 1)
-            out.append(at[words[at] == s])
-        return out
-
-    sides = []
-    for sets in (positive, unlabelled):
-        held = rows(sets)
-        sides.append((np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held]), len(held)))
-    theta = np.append(np.zeros(len(words)), bias)
+    return words[np.sort(chosen[np.argsort(-gain[chosen], kind="stable")[:max_features]])]
+
+
+def risk(theta: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray, int]], prior: float) -> tuple[float, np.ndarray]:
+    """The second term of the risk, and the gradient to descend: that of the whole risk, or, where the term is negative, of its opposite.
+
+    ``sides``: of P and of U the places of all rows' features, the rows that have them, and the number of rows; the bias is last in ``theta``.
+    """
+    margins = [theta[-1] + np.bincount(owner, theta[flat], n) for flat, owner, n in sides]
+    chance = [1 / (1 + np.exp(-np.clip(z, -50, 50))) for z in margins]
+    pull = [prior * chance[0] / sides[0][2], chance[1] / sides[1][2]]  # of the losses as clean text
+    clean = float(np.logaddexp(0, margins[1]).mean() - prior * np.logaddexp(0, margins[0]).mean())
+    parts = [prior * (chance[0] - 1) / sides[0][2] - pull[0], pull[1]] if clean >= 0 else [pull[0], -pull[1]]
+    gradient = np.zeros_like(theta)
+    for weight, (flat, owner, _) in zip(parts, sides, strict=True):
+        gradient[:-1] += np.bincount(flat, weight[owner], len(theta) - 1)
+        gradient[-1] += weight.sum()
+    return clean, gradient
+
+
+def fit(words: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, steps: int = 400, rate: float = 0.1, decay: float = 1e-5) -> Model:
+    """Non-negative PU training by Adam over the whole samples, rows of places in ``words``. Without features, positives or unlabelled texts the model scores the prior."""
+    prior = min(max(prior, 1e-4), 0.9)
+    theta = np.append(np.zeros(len(words)), np.log(prior / (1 - prior)))
+    if not len(words) or not positive or not unlabelled:
+        return Model(words[:0], theta[:0], float(theta[-1]))
+    sides = [(np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held]), len(held)) for held in (positive, unlabelled)]
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        gradient = decay * np.append(theta[:-1], 0.0)
-        margins = [theta[-1] + np.bincount(owner, theta[flat], n) for flat, owner, n in sides]
-        chance = [1 / (1 + np.exp(-np.clip(z, -50, 50))) for z in margins]
-        pull = [prior * chance[0] / sides[0][2], chance[1] / sides[1][2]]  # of the losses as clean text
-        clean = np.logaddexp(0, margins[1]).mean() - prior * np.logaddexp(0, margins[0]).mean()
-        parts = [prior * (chance[0] - 1) / sides[0][2] - pull[0], pull[1]] if clean >= 0 else [pull[0], -pull[1]]
-        for weight, (flat, owner, _) in zip(parts, sides, strict=True):
-            gradient[:-1] += np.bincount(flat, weight[owner], len(words))
-            gradient[-1] += weight.sum()
+        gradient = risk(theta, sides, prior)[1] + decay * np.append(theta[:-1], 0.0)
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient * gradient
         falling = rate * 0.5 * (1 + np.cos(np.pi * step / steps))
@@ -147,29 +196,25 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(words, theta[:-1], float(theta[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, training: Column, *, max_positive: int = 3000, max_unlabelled: int = 6000, **options: float) -> Model:
+def train(docs: DataFrame, labels: DataFrame, training: Column, *, max_positive: int = 4000, max_unlabelled: int = 8000, **options: float) -> Model:
     """A model from the rows of ``docs`` (``doc_id``, ``text``) for which ``training`` holds.
 
     P: those that ``labels`` (``doc_id``, ``toxic``) marks 1; U: a sample of all of them. The class prior is the share
     of 1 among training labels. ``max_positive`` and ``max_unlabelled`` bound the samples, which are the rows
-    with the smallest hashes of their ids. Null labels and null ids teach nothing; repeated labels count once, as 1 if any is.
+    with the smallest hashes of their ids; ``options`` are those of ``choose``. Null labels and null ids teach nothing;
+    repeated labels count once, as 1 if any is.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("label_id")).agg((F.max("toxic") == 1).alias("positive"))
-    taught = docs.where(training & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"))
-    shared = taught.join(marks, taught["doc_id"] == marks["label_id"])
+    taught = docs.where(training & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ids = taught.select("doc_id")
+    shared = ids.join(marks, ids["doc_id"] == marks["label_id"])
     n, k = shared.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("positive").cast("int")), F.lit(0))).first()
-    chosen = shared.where("positive").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positive).select("doc_id", F.lit(True).alias("positive"))
-    others = taught.distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_unlabelled).select("doc_id", F.lit(False).alias("positive"))
-    ids = chosen.unionByName(others)  # at most max_positive + max_unlabelled rows
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-    rows = word_sets(texts).toArrow()
-    sets: list[np.ndarray] = []
-    for part in rows.column("words").chunks:  # views of the received buffers
-        values, first = part.flatten().to_numpy().view(np.uint64), part.offsets.to_numpy() - part.offsets[0].as_py()
-        sets += [values[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-    flags = rows.column("positive").to_pylist()
-    order = sorted(range(len(sets)), key=lambda i: (flags[i], len(sets[i]), sets[i].tobytes()))  # tasks end in any order
-    return fit([sets[i] for i in order if flags[i]], [sets[i] for i in order if not flags[i]], (k / n) if n else 0.1, **options)
+    chosen = shared.where("positive").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positive)
+    others = ids.distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_unlabelled)
+    positive = word_sets(taught.join(F.broadcast(chosen), "doc_id"))  # at most max_positive ids
+    words = choose(positive, lambda found: document_counts(taught, found), **options)
+    held = [np.flatnonzero(np.isin(words, x, assume_unique=True)) for x in positive]
+    return fit(words, held, presence(taught.join(F.broadcast(others), "doc_id"), words), (k / n) if n else 0.1)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
