@@ -1,6 +1,6 @@
 """Operator 6: toxicity by non-negative positive-unlabelled learning.
 
-A logistic model over the presence of words and of word beginnings is trained from confirmed toxic documents (P) and a sample of all
+A logistic model over occurrences of words and of word beginnings (once, twice, four times) is trained from confirmed toxic documents (P) and a sample of all
 training documents as unlabelled text (U). With class prior p the risk is
 
     p * E_P[loss(+1)] + max(0, E_U[loss(-1)] - p * E_P[loss(-1)]),
@@ -32,6 +32,8 @@ _TABLE = word_table("alnum")
 
 #: Word beginnings that are features: so many bytes of longer words.
 PREFIXES = (4, 5, 6)
+#: A feature has a weight for each of these numbers of occurrences that a text reaches: a long text can have any beginning once by chance.
+LEVELS = (1, 2, 4)
 
 
 def features(texts: list[bytes], wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -62,19 +64,21 @@ class Features:
         return table
 
     def found(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Each text's distinct features: numbers of texts, and places in ``words``."""
+        """Numbers of texts, and columns of their features: for a feature at place p of ``words`` the column ``len(LEVELS) * p + k`` if the text has it ``LEVELS[k]`` times."""
         if not len(self.words):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         text, hashes = features(texts, lambda h: self._likely[(h >> np.uint64(44)).astype(np.int64)])
         place = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         known = self.words[place] == hashes
-        pairs = np.unique(text[known] * len(self.words) + place[known])
-        return pairs // len(self.words), pairs % len(self.words)
+        pairs, n = np.unique(text[known] * len(self.words) + place[known], return_counts=True)
+        text, place = pairs // len(self.words), pairs % len(self.words)
+        enough = [n >= least for least in LEVELS]
+        return np.concatenate([text[m] for m in enough]), np.concatenate([len(LEVELS) * place[m] + k for k, m in enumerate(enough)])
 
 
 @dataclass(frozen=True)
 class Model:
-    """``score = sigmoid(bias + sum of weights[w] over the distinct features w of a text)``; ``words`` are sorted hashes."""
+    """``score = sigmoid(bias + sum of weights over the columns of a text)``; ``words`` are sorted hashes, of ``len(LEVELS)`` columns each."""
 
     words: np.ndarray
     weights: np.ndarray
@@ -85,8 +89,8 @@ class Model:
         return Features(self.words)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        text, place = self._features.found(texts)
-        total = self.bias + np.bincount(text, self.weights[place], len(texts))
+        text, column = self._features.found(texts)
+        total = self.bias + np.bincount(text, self.weights[column], len(texts))
         return 1 / (1 + np.exp(-np.clip(total, -50, 50)))
 
 
@@ -101,7 +105,7 @@ def document_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int
         counts, n = np.zeros(len(words), np.int64), 0
         for batch in batches:
             for _, texts in blocks(batch.column("text").to_pylist()):
-                counts += np.bincount(shipped.value.found(texts)[1], minlength=len(words))
+                counts += np.bincount(shipped.value.found(texts)[1], minlength=len(LEVELS) * len(words))[:: len(LEVELS)]
                 n += len(texts)
         met = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(met, -1)), pa.array(np.append(counts[met], n))], ["place", "n"])
@@ -135,13 +139,12 @@ def _lists(docs: DataFrame, split: Callable[[list[bytes]], tuple[np.ndarray, np.
 
 
 def word_sets(docs: DataFrame) -> list[np.ndarray]:
-    """The distinct feature hashes of each row; of equal sets one."""
-    every = _lists(docs, features)
-    return [x.view(np.uint64) for i, x in enumerate(every) if i == 0 or not np.array_equal(x, every[i - 1])]
+    """The distinct feature hashes of each row."""
+    return [x.view(np.uint64) for x in _lists(docs, features)]
 
 
 def presence(docs: DataFrame, words: np.ndarray) -> list[np.ndarray]:
-    """The places in ``words`` of each row's features."""
+    """The columns of each row's features among ``words``."""
     shipped = docs.sparkSession.sparkContext.broadcast(Features(words))
     return _lists(docs, lambda texts: shipped.value.found(texts))
 
@@ -165,7 +168,7 @@ def choose(positive: list[np.ndarray], count: Callable[[np.ndarray], tuple[np.nd
 def risk(theta: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray, int]], prior: float) -> tuple[float, np.ndarray]:
     """The second term of the risk, and the gradient to descend: that of the whole risk, or, where the term is negative, of its opposite.
 
-    ``sides``: of P and of U the places of all rows' features, the rows that have them, and the number of rows; the bias is last in ``theta``.
+    ``sides``: of P and of U the columns of all rows', the rows that have them, and the number of rows; the bias is last in ``theta``.
     """
     margins = [theta[-1] + np.bincount(owner, theta[flat], n) for flat, owner, n in sides]
     chance = [1 / (1 + np.exp(-np.clip(z, -50, 50))) for z in margins]
@@ -180,9 +183,9 @@ def risk(theta: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray, int]], pri
 
 
 def fit(words: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, steps: int = 400, rate: float = 0.1, decay: float = 1e-5) -> Model:
-    """Non-negative PU training by Adam over the whole samples, rows of places in ``words``. Without features, positives or unlabelled texts the model scores the prior."""
+    """Non-negative PU training by Adam over the whole samples, rows of columns of ``words``. Without features, positives or unlabelled texts the model scores the prior."""
     prior = min(max(prior, 1e-4), 0.9)
-    theta = np.append(np.zeros(len(words)), np.log(prior / (1 - prior)))
+    theta = np.append(np.zeros(len(LEVELS) * len(words)), np.log(prior / (1 - prior)))
     if not len(words) or not positive or not unlabelled:
         return Model(words[:0], theta[:0], float(theta[-1]))
     sides = [(np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held]), len(held)) for held in (positive, unlabelled)]
@@ -211,10 +214,9 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, *, max_positive:
     n, k = shared.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("positive").cast("int")), F.lit(0))).first()
     chosen = shared.where("positive").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positive)
     others = ids.distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(max_unlabelled)
-    positive = word_sets(taught.join(F.broadcast(chosen), "doc_id"))  # at most max_positive ids
-    words = choose(positive, lambda found: document_counts(taught, found), **options)
-    held = [np.flatnonzero(np.isin(words, x, assume_unique=True)) for x in positive]
-    return fit(words, held, presence(taught.join(F.broadcast(others), "doc_id"), words), (k / n) if n else 0.1)
+    positive = taught.join(F.broadcast(chosen), "doc_id").select("text").distinct()  # copies tell nothing more
+    words = choose(word_sets(positive), lambda found: document_counts(taught, found), **options)
+    return fit(words, presence(positive, words), presence(taught.join(F.broadcast(others), "doc_id"), words), (k / n) if n else 0.1)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
