@@ -35,6 +35,8 @@ MISS = 1e-5
 BATCH = 32
 #: Members of a bucket that one task compares with as many.
 BLOCK = 2000
+#: Rows of a batch that become Python objects at a time: shingle sets can be long.
+PIECE = 256
 #: Ids that are broadcast at most; beyond that a shuffled join gives the same rows.
 MAX_BROADCAST_IDS = 2_000_000
 _WORDS = word_table("white")
@@ -121,6 +123,13 @@ def survivors(left: np.ndarray, right: np.ndarray, threshold_percent: int) -> np
     return rows
 
 
+def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``PIECE`` rows."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, PIECE):
+            yield batch.slice(begin, PIECE)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
 
@@ -178,7 +187,7 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, threshold_percent:
     """The pairs whose full shingle sets reach the threshold."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             keep = []
             for k, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
                 mine, theirs = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -227,7 +236,7 @@ def across(members: DataFrame, threshold_percent: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         key, found = None, []
-        for batch in batches:
+        for batch in pieces(batches):
             columns = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "doc_id", "component", "own", "signature", "shingles")]
             for bucket, i, j, *row in zip(*columns, strict=True):
                 if (bucket, i, j) != key:
