@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 WHITE = bytes([32, 9, 10, 11, 12, 13])
 
@@ -94,6 +95,18 @@ def text_bounds(texts: Sequence[bytes]) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))])
 
 
+#: Rows of a batch that become Python objects at a time: texts and shingle sets can be long.
+PIECE = 256
+
+
+def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``PIECE`` rows; what Arrow no longer uses is given back at the end, as idle workers stay for a minute."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, PIECE):
+            yield batch.slice(begin, PIECE)
+    pa.default_memory_pool().release_unused()
+
+
 def blocks(texts: Iterable, size: int = 1 << 20) -> Iterable[tuple[int, list[bytes]]]:
     """``(first index, byte strings)`` of about ``size`` bytes; a longer text is a block of its own."""
     block: list[bytes] = []

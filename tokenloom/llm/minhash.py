@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import checkpointed
-from ._text import LOWER, Words, blocks, mix64, word_table
+from ._text import LOWER, Words, blocks, mix64, pieces, word_table
 from .components import components
 
 BANDS, ROWS = 48, 8
@@ -35,8 +35,6 @@ MISS = 1e-5
 BATCH = 32
 #: Members of a bucket that one task compares with as many.
 BLOCK = 2000
-#: Rows of a batch that become Python objects at a time: shingle sets can be long.
-PIECE = 256
 #: Ids that are broadcast at most; beyond that a shuffled join gives the same rows.
 MAX_BROADCAST_IDS = 2_000_000
 _WORDS = word_table("white")
@@ -123,13 +121,6 @@ def survivors(left: np.ndarray, right: np.ndarray, threshold_percent: int) -> np
     return rows
 
 
-def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most ``PIECE`` rows."""
-    for batch in batches:
-        for begin in range(0, batch.num_rows, PIECE):
-            yield batch.slice(begin, PIECE)
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
 

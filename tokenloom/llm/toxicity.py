@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Words, blocks, mix64, span_hashes, word_table
+from ._text import Words, blocks, mix64, pieces, span_hashes, word_table
 
 _TABLE = word_table("alnum")
 
@@ -36,17 +36,20 @@ PREFIXES = (4, 5, 6)
 LEVELS = (1, 2, 4)
 
 
-def features(texts: list[bytes], wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Text numbers and hashes of the words and word beginnings of all texts; with ``wanted``, of the hashes that it marks."""
+def _parts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Text numbers and hashes of all words, then of the word beginnings of each length."""
     found = Words(texts, _TABLE)
     text = np.repeat(np.arange(len(texts)), found.counts())
-    parts = [(text, found.hashes)]
+    yield text, found.hashes
     for n in PREFIXES:
         longer = found.ends - found.starts > n
         starts = found.starts[longer]
-        parts.append((text[longer], mix64(span_hashes(found.data, starts, starts + n) + np.uint64(n))))
-    if wanted:
-        parts = [(t[m], h[m]) for t, h in parts for m in [wanted(h)]]
+        yield text[longer], mix64(span_hashes(found.data, starts, starts + n) + np.uint64(n))
+
+
+def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Text numbers and hashes of the words and word beginnings of all texts."""
+    parts = list(_parts(texts))
     return np.concatenate([t for t, _ in parts]), np.concatenate([h for _, h in parts])
 
 
@@ -65,15 +68,18 @@ class Features:
 
     def found(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of texts, and columns of their features: for a feature at place p of ``words`` the column ``len(LEVELS) * p + k`` if the text has it ``LEVELS[k]`` times."""
-        if not len(self.words):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        text, hashes = features(texts, lambda h: self._likely[(h >> np.uint64(44)).astype(np.int64)])
-        place = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        known = self.words[place] == hashes
-        pairs, n = np.unique(text[known] * len(self.words) + place[known], return_counts=True)
-        text, place = pairs // len(self.words), pairs % len(self.words)
-        enough = [n >= least for least in LEVELS]
-        return np.concatenate([text[m] for m in enough]), np.concatenate([len(LEVELS) * place[m] + k for k, m in enumerate(enough)])
+        rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for text, hashes in _parts(texts) if len(self.words) else ():  # a hash is of one part
+            likely = self._likely[(hashes >> np.uint64(44)).astype(np.int64)]
+            text, hashes = text[likely], hashes[likely]
+            place = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+            known = self.words[place] == hashes
+            pairs, n = np.unique(text[known] * len(self.words) + place[known], return_counts=True)
+            for k, least in enumerate(LEVELS):
+                enough = pairs[n >= least]
+                rows.append(enough // len(self.words))
+                columns.append(len(LEVELS) * (enough % len(self.words)) + k)
+        return np.concatenate(rows), np.concatenate(columns)
 
 
 @dataclass(frozen=True)
@@ -103,7 +109,7 @@ def document_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n = np.zeros(len(words), np.int64), 0
-        for batch in batches:
+        for batch in pieces(batches):
             for _, texts in blocks(batch.column("text").to_pylist()):
                 counts += np.bincount(shipped.value.found(texts)[1], minlength=len(LEVELS) * len(words))[:: len(LEVELS)]
                 n += len(texts)
@@ -121,7 +127,7 @@ def _lists(docs: DataFrame, split: Callable[[list[bytes]], tuple[np.ndarray, np.
     """For each row of ``docs`` the sorted distinct values that ``split`` gives with numbers of texts, as views of received buffers; in an order of their own, as tasks end in any."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for _, texts in blocks(batch.column("text").to_pylist()):
                 text, values = split(texts)
@@ -226,7 +232,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = kept.select("*").schema.add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column("text").to_pylist()
             values = np.concatenate([shipped.value.score(t) for _, t in blocks(texts)]) if texts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values), pa.array((values >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
