@@ -197,6 +197,23 @@ def test_queries_equal_sql(spark, name):
     spark.catalog.clearCache()
 
 
+def test_an_index_for_queries_answers_as_a_whole_one(spark):
+    rng = random.Random(7)
+    made = words(spark, sorted({"".join(rng.choices("abcd", k=rng.randrange(9))) for _ in range(300)}))
+    asked = points(words(spark, ["abcab", "dddd", "zz", "", "a"]), ngram(2))
+    whole, part = FuzzyIndex.build(made, ngram(2)), FuzzyIndex.for_queries(made, ngram(2), asked)
+    for params in (SearchParams(Jaccard()), SearchParams(Overlap(), breadth=3, use_best_after=2)):
+        assert sorted(neighbors(part, asked, params).collect()) == sorted(neighbors(whole, asked, params).collect())
+        assert sorted(map(str, nearest(part, asked, params).collect())) == sorted(map(str, nearest(whole, asked, params).collect()))
+        assert sorted(exact_nearest(part, asked, params).collect()) == sorted(exact_nearest(whole, asked, params).collect())
+
+
+@pytest.mark.parametrize("name", ["benchmark_lookup"])
+def test_item_lookups_keep_no_whole_documents(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+    assert "documents.parquet" not in plan and "InMemoryRelation" not in plan
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
 
