@@ -208,7 +208,7 @@ def test_an_index_for_queries_answers_as_a_whole_one(spark):
         assert sorted(exact_nearest(part, asked, params).collect()) == sorted(exact_nearest(whole, asked, params).collect())
 
 
-@pytest.mark.parametrize("name", ["benchmark_lookup"])
+@pytest.mark.parametrize("name", ["brute_force_nearest", "benchmark_lookup"])
 def test_item_lookups_keep_no_whole_documents(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().toString()
     assert "documents.parquet" not in plan and "InMemoryRelation" not in plan
