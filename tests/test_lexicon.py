@@ -68,7 +68,7 @@ def test_other_words_and_featurizers_and_little(spark, values, featurizer):
     assert sorted(map(str, made.nearest().collect())) == sorted(map(str, nearest(FuzzyIndex.build(words(spark, values), featurizer), points(asked, featurizer), SearchParams()).collect()))
 
 
-LOOKUPS = ["nearest_jaccard", "neighbors_budgeted", "accuracy_report", "comparisons_average", "nearest_overlap", "nearest_mapped"]
+LOOKUPS = ["nearest_jaccard", "neighbors_budgeted", "accuracy_report", "comparisons_average", "nearest_overlap", "nearest_mapped", "nearest_hamming"]
 
 
 @pytest.mark.parametrize("name", LOOKUPS)
