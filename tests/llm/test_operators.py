@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tokenloom.llm import ctw, decontam, linededup, minhash, packing, quality, queries, secret_scan, suffix_dedup, toxicity, warc
+from tokenloom.llm import _store, ctw, decontam, linededup, minhash, packing, quality, queries, secret_scan, suffix_dedup, toxicity, warc
 from tokenloom.llm.automata import compile_patterns, find_ends
 from tokenloom.llm.components import components
 
@@ -543,6 +543,51 @@ def test_numbered_lines_are_not_paired_one_with_all(spark, monkeypatch):
     assert sum(m.count() for m in made) < 30 * len(lines)
 
 
+def test_only_keys_that_meet_are_kept(spark, monkeypatch):
+    kept, plans = [], []
+
+    def spied(make):
+        def run(df):
+            kept.append(make(df))
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return kept[-1]
+
+        return run
+
+    for name in ("checkpointed", "written"):
+        monkeypatch.setattr(linededup, name, spied(getattr(_store, name)), raising=False)
+    rng = random.Random(31)
+    lines = ["".join(rng.choice("abcdefgh é") for _ in range(300)) + "z" for _ in range(200)]
+    lines.append(edited(rng, lines[0]))
+    found = linededup.lines_of(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    names = {r.h: r.line for r in found.collect()}
+    assert [{names[r.a], names[r.b]} for r in linededup.edit_links(found, 30, 4).collect()] == [{lines[0], lines[-1]}]
+    # 13 keys a line are made, and read twice from one exchange.
+    assert max(df.count() for df in kept) < len(lines)
+    assert "ReusedExchange" in plans[0] and "ShuffledHashJoin" in plans[0]
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_common_lines_make_their_keys_once(spark, monkeypatch, most):
+    rng = random.Random(37)
+    rows = [(d, f"{BASE}\nown {d}\n{edited(rng, BASE)}\n{BASE}") for d in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = by_row(linededup.dedup_lines(docs).collect())
+    made, met = [], linededup._met
+    monkeypatch.setattr(linededup, "_met", lambda keyed: made.append(keyed) or met(keyed))
+    monkeypatch.setattr(linededup, "COPIES", 1)
+    monkeypatch.setattr(linededup, "MAX_BROADCAST_IDS", most)
+    assert by_row(linededup.dedup_lines(docs).collect()) == want
+    assert made[0].count() == made[0].distinct().count() > 0
+
+
+def test_lines_without_a_word(spark):
+    lines = ["", " ", "\t\x0b\x0c\r ", " \r\x0bx", "x ", "\x85", "\u3000", "\x1f", "é"]
+    found = linededup.lines_of(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string"))
+    assert sorted(r.line for r in found.collect()) == sorted(x for x in lines if x.strip(" \t\n\x0b\x0c\r"))
+
+
 def test_line_dedup_keeps_any_columns(spark):
     rows = [(1, f"{BASE}\nx", 7, "a", 1.0, 2), (2, BASE, 8, "b", 2.0, 3), (None, BASE, None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, removed_places long, `a.b` string, removed_from double, h long")

@@ -8,9 +8,9 @@ Segments of the first half are counted from the beginning, the others from the e
 depends on the greatest power of two within the length, so that lengths need no probes of their own, but for lines so little longer
 than a power of two that the other may be below it.
 
-Lines that meet under a key are compared by counts of frequent characters before they become candidates: an edit changes two of
-these counts at most. A key of very many lines is divided by length, and what is left into blocks. Candidates are verified on the whole
-lines by a banded edit distance.
+Most keys are of one line alone, and nothing is kept of them. Lines that meet under a key are compared by counts of frequent characters
+before they become candidates: an edit changes two of these counts at most. A key of very many lines is divided by length, and what is left
+into blocks. Candidates are verified on the whole lines by a banded edit distance.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import checkpointed, written
+from ._store import checkpointed
 from .components import components
 
 #: Characters of a line (by the greatest power of two within its length) for each edit; shorter lines may have one.
@@ -35,11 +35,19 @@ SPAN, BLOCK = 16, 4096
 COUNTED = ("etaoinsrhldcumf", "pgwb 0123456789")
 #: Ids that are broadcast at most; beyond that a shuffled join gives the same rows.
 MAX_BROADCAST_IDS = 1_000_000
+#: A line of more copies has its keys made for the first only.
+COPIES = 256
+#: Characters that make no word.
+BLANK = " \t\n\x0b\x0c\r"
+
+
+def _has_word(line: Column) -> Column:
+    return F.octet_length(F.ltrim(line, F.lit(BLANK))) > 0
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``place``, ``line``, and the hashes ``h`` and ``g`` of the lines with a word; null ids and texts have none."""
-    lines = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line")).where(F.col("line").rlike("[^ \\t-\\r]"))
+    lines = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line")).where(_has_word(F.col("line")))
     return lines.withColumn("h", F.xxhash64("line")).withColumn("g", F.hash("line", F.lit(1)))
 
 
@@ -58,15 +66,15 @@ def _levels(max_edits: int) -> list[int]:
     return sorted({min(1 << i, max_edits) for i in range(max_edits.bit_length() + 1)})
 
 
-def _key() -> Column:
-    """Hash of the segment ``part``, ``moved`` characters from its place; null where the line has none there."""
+def _key() -> tuple[Column, Column]:
+    """Hash of the segment ``part``, ``moved`` characters from its place, and whether the line has one there."""
     base, edits, part, size = F.col("base"), F.col("edits"), F.col("part"), F.col("size")
     width = F.floor(base / (edits + 1)).cast("int")
     # Places behind the middle are counted from the end.
     first = F.when(2 * part <= edits, width * part).otherwise(size - width * (edits + 1 - part)) + F.col("moved")
     # Bytes are found at once where they are characters; a segment has the same hash either way.
     taken = F.when(F.col("ascii"), F.substring(F.col("line").cast("binary"), first + 1, width)).otherwise(F.substring("line", first + 1, width).cast("binary"))
-    return F.when((first >= 0) & (first + width <= size), F.xxhash64(base, part, taken))
+    return F.xxhash64(base, part, taken), (first >= 0) & (first + width <= size)
 
 
 def _chosen(lists: dict[int, list[tuple[int, ...]]], names: str) -> Column:
@@ -143,6 +151,16 @@ def _counted(keyed: DataFrame) -> DataFrame:
     return counts.where("indexed > 0 and first < last").select(F.col("key").alias("met"), "indexed", (F.col("indexed") * F.col("n")).alias("pairs"))
 
 
+def _met(keyed: DataFrame) -> DataFrame:
+    """The rows (``key``, ``mark``, ``h``) of keys under which different lines meet, one of them indexed, each once.
+
+    Rows are dealt by key once: the tasks that find the keys that meet read them again for the rows, as most keys are of one line.
+    """
+    dealt = keyed.repartition("key")
+    keys = dealt.groupBy(F.col("key").alias("met")).agg(F.min("h").alias("first"), F.max("h").alias("last"), F.min(F.col("mark").bitwiseAND(1)).alias("probes")).where("first < last and probes = 0")
+    return checkpointed(dealt.join(keys.select("met").hint("shuffle_hash"), F.col("key") == F.col("met")).drop("met").distinct())
+
+
 def _some(lines: DataFrame, ids: DataFrame) -> DataFrame:
     """Each line of ``ids`` (``id``) once, with its text."""
     ids = checkpointed(ids.distinct())
@@ -207,13 +225,13 @@ def edit_links(lines: DataFrame, min_chars: int, max_edits: int) -> DataFrame:
     levels = _levels(max_edits)
     own = F.struct(base.alias("base"), edits_of(size, max_edits).alias("edits"), F.lit(False).alias("below"))
     less = F.struct(lower.alias("base"), edits_of(lower, max_edits).alias("edits"), F.lit(True).alias("below"))
-    sides = F.array_compact(F.array(own, F.when((size - edits_of(lower, max_edits) < base) & (size > min_chars), less)))
+    sides = F.when((size - edits_of(lower, max_edits) < base) & (size > min_chars), F.array(own, less)).otherwise(F.array(own))
     sided = long.select("h", "line", size.alias("size"), (size == F.octet_length("line")).alias("ascii"), F.explode(sides).alias("s")).select("h", "line", "size", "ascii", "s.*")
     placed = sided.select("*", _chosen({e: _indexed_and_probed(e) for e in levels}, "part moved").alias("k")).select("*", "k.part", "k.moved")
-    keyed = placed.select("h", "size", "base", "part", (F.col("below") | (F.col("moved") != 0)).alias("probe"), _key().alias("key")).where("key is not null")
+    key, there = _key()
     # The bucket and the length are one number, as rows have a word for each column.
-    mark = F.col("size").cast("long") * 4 + F.when(F.col("base") < _base(F.col("size")), 2).otherwise(0) + F.col("probe").cast("int")
-    keyed = written(keyed.select("key", mark.alias("mark"), "h").groupBy("key", "mark", "h").agg(F.count(F.lit(1)).alias("copies")).drop("copies"))
+    mark = F.col("size").cast("long") * 4 + F.when(F.col("below"), 2).otherwise(0) + F.when(F.col("below") | (F.col("moved") != 0), 1).otherwise(0)
+    keyed = _met(placed.where(there).select(key.alias("key"), mark.alias("mark"), "h"))
     bits = F.col("mark").bitwiseAND
     keyed = keyed.select("key", "h", F.shiftright("mark", 2).cast("int").alias("size"), (bits(1) == 1).alias("probe"), (bits(2) == 2).alias("below"))
     met = checkpointed(_counted(keyed))
@@ -250,7 +268,11 @@ def line_classes(docs: DataFrame, *, min_chars: int = 30, max_edits: int = 4) ->
     """
     lines = lines_of(docs)
     distinct = checkpointed(lines.groupBy("h").agg(F.min(F.struct("doc_id", "place")).alias("own"), F.count(F.lit(1)).alias("n"), F.min("g").alias("low"), F.max("g").alias("high")))
-    links = checkpointed(edit_links(lines, min_chars, max_edits))
+    # The keys of a very common line are very common too.
+    often = distinct.where((F.col("n") > COPIES) & (F.col("low") == F.col("high"))).select(F.col("h").alias("id"), "own.*").toDF("id", "own_id", "own_place")
+    often = F.broadcast(often) if often.count() <= MAX_BROADCAST_IDS else often
+    first = lines.join(often, F.col("h") == F.col("id"), "left").where("own_id is null or own_id = doc_id and own_place = place").select(*lines.columns)
+    links = checkpointed(edit_links(first, min_chars, max_edits))
     joined = components(links)
     # Different lines of one hash are told by the other, and all stay.
     several = distinct.join(joined, F.col("h") == F.col("node"), "left").where("(n > 1 or node is not null) and low = high")
@@ -288,6 +310,6 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 30, max_edits: int = 4) ->
     places = F.coalesce(ours["places"], F.array().cast("array<int>"))
     text = F.when(F.size(places) > 0, F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(places, i)), "\n")).otherwise(F.col("text").cast("string"))
     columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in kept.columns]
-    n_lines = F.size(F.filter(lines, lambda x: x.rlike("[^ \\t-\\r]")))
+    n_lines = F.size(F.filter(lines, _has_word))
     counts = [n_lines, F.size(places), F.col(ours["near"]), F.col(ours["joined"])]
     return joined.select(*columns, *[F.coalesce(c, F.lit(0)).cast("long").alias(n) for c, n in zip(counts, added, strict=True)])
