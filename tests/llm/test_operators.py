@@ -240,6 +240,12 @@ def test_contamination_equals_brute_force(spark, docs, rows):
             assert sum(len(alnum_words(texts[r.doc_id][s.start : s.end])) for s in r.spans) == r.n_hit
 
 
+def test_texts_go_through_one_worker_of_a_task(spark, docs):
+    items = spark.createDataFrame([(1, BASE)], "item_id long, text string")
+    plan = decontam.scan(docs, items)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 # Secrets
 
 

@@ -100,11 +100,11 @@ def text_bounds(texts: Sequence[bytes]) -> np.ndarray:
 PIECE = 256
 
 
-def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most ``PIECE`` rows; what is no longer used is given back to the system at the end, as idle workers stay."""
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows; what is no longer used is given back to the system at the end, as idle workers stay."""
     for batch in batches:
-        for begin in range(0, batch.num_rows, PIECE):
-            yield batch.slice(begin, PIECE)
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
     if trim:

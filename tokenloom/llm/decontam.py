@@ -13,7 +13,7 @@ once; what the passes find is carried along with the text. So memory is bounded
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import checkpointed, discard, written
-from ._text import utf8, word_table
+from ._text import pieces, utf8, word_table
 
 _TABLE = word_table("alnum").tobytes()
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<long>, spans array<struct<start:long,end:long>>"
+KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+#: What one pass over the texts hands to the next.
+CARRIED = "doc_id long, text string, hits array<long>, owners array<long>"
+CARRIED_KINDS = [pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -73,32 +77,41 @@ def _spans(text: str, runs: list[int]) -> list[dict[str, int]]:
     return [{"start": int(points[starts[a]]), "end": int(points[ends[b - 1]])} for a, b in zip(runs[0::2], runs[1::2], strict=True)]
 
 
-def _one_pass(rows: DataFrame, windows: list[tuple[int | None, bytes, int]]) -> DataFrame:
-    """``rows`` with what occurs of these windows: ``hits``, the begin and end of each run of hit words, and ``owners``, the items."""
+def _found(machine, words: list[bytes], runs: list[int], own: list[int | None]) -> tuple[list[int], list[int | None]]:
+    """``runs`` (the begin and end of each run of hit words) and ``own`` (the items) with what this automaton finds in a text."""
+    joined = b" " + b" ".join(words) + b" "
+    got = list(machine.iter(joined.decode("latin-1"))) if len(machine) and words else []
+    if not got:
+        return runs, own
+    gaps = np.cumsum(np.frombuffer(joined, np.uint8) == 32) - 1
+    hit, found = np.zeros(int(gaps[-1]), bool), set(own)
+    for begin, end in zip(runs[0::2], runs[1::2], strict=True):
+        hit[begin:end] = True
+    for end, (size, items) in got:
+        hit[gaps[end] - size : gaps[end]] = True
+        found |= items
+    return np.flatnonzero(np.diff(hit.astype(np.int8), prepend=np.int8(0), append=np.int8(0))).tolist(), sorted(found, key=lambda x: (x is None, x))
+
+
+def _one_pass(rows: DataFrame, windows: list[tuple[int | None, bytes, int]], schema: str, kinds: list[pa.DataType], each: Callable[..., tuple]) -> DataFrame:
+    """What ``each`` makes of every row's ``doc_id``, text and words, and of the hits and owners with what occurs of these windows.
+
+    Text goes through one worker of a task, a few rows at a time, whatever ``each`` makes of it.
+    """
     shipped = rows.sparkSession.sparkContext.broadcast(windows)
+    names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _automaton(shipped.value)
-        for batch in batches:
-            hits, owners = [], []
-            for text, runs, own in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist(), batch.column("owners").to_pylist(), strict=True):
-                joined = b" " + b" ".join(words_of(text)) + b" "
-                got = list(machine.iter(joined.decode("latin-1"))) if len(machine) and len(joined) > 2 else []
-                if got:
-                    gaps = np.cumsum(np.frombuffer(joined, np.uint8) == 32) - 1
-                    hit, found = np.zeros(int(gaps[-1]), bool), set(own)
-                    for begin, end in zip(runs[0::2], runs[1::2], strict=True):
-                        hit[begin:end] = True
-                    for end, (size, items) in got:
-                        hit[gaps[end] - size : gaps[end]] = True
-                        found |= items
-                    runs = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=np.int8(0), append=np.int8(0))).tolist()
-                    own = sorted(found, key=lambda x: (x is None, x))
-                hits.append(runs)
-                owners.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(hits, pa.list_(pa.int64())), pa.array(owners, pa.list_(pa.int64()))], ["doc_id", "text", "hits", "owners"])
-
-    return rows.mapInArrow(run, "doc_id long, text string, hits array<long>, owners array<long>")
+        for batch in pieces(batches):
+            out = []
+            for key, text, runs, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "hits", "owners")), strict=True):
+                words = words_of(text)
+                out.append(each(key, text, words, *_found(machine, words, runs, own)))
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, min_percent: int = 5, block_chars: int = 4_000_000) -> DataFrame:
@@ -117,30 +130,27 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, min_percent
     n_blocks = -(-windows.agg(F.coalesce(F.sum(F.length("key")), F.lit(0))).first()[0] // block_chars) or 1
     none = F.array().cast("array<long>")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), none.alias("hits"), none.alias("owners"))
+
+    def carried(key: int | None, text: str | None, words: list[bytes], runs: list[int], own: list[int | None]) -> tuple:
+        return key, text, runs, own
+
+    def judged(key: int | None, text: str | None, words: list[bytes], runs: list[int], own: list[int | None]) -> tuple:
+        n_hit = sum(runs[1::2]) - sum(runs[0::2])
+        names = sorted("null" if x is None else str(x) for x in own)
+        digest = hashlib.sha256(",".join(names).encode()).hexdigest()
+        return key, len(words), n_hit, len(own), digest, n_hit > 0 and 100 * n_hit >= min_percent * len(words), [x for x in own if x is not None], _spans(text, runs) if n_hit else []
+
     before = None
     for k in range(n_blocks):
         block = windows.where(F.pmod(F.xxhash64("key"), F.lit(n_blocks)) == k).select("item_id", "key", "n").collect()  # about block_chars characters
-        rows = _one_pass(rows, [tuple(r) for r in block])
-        if k < n_blocks - 1:
+        last = k == n_blocks - 1
+        rows = _one_pass(rows, [tuple(r) for r in block], *((SCHEMA, KINDS, judged) if last else (CARRIED, CARRIED_KINDS, carried)))
+        if not last:
             rows = written(rows)
             if before is not None:
                 discard(before)
             before = rows
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for key, text, runs, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "hits", "owners")), strict=True):
-                n = len(words_of(text))
-                n_hit = sum(runs[1::2]) - sum(runs[0::2])
-                names = sorted("null" if x is None else str(x) for x in own)
-                out.append((key, n, n_hit, len(own), hashlib.sha256(",".join(names).encode()).hexdigest(), n_hit > 0 and 100 * n_hit >= min_percent * n, [x for x in own if x is not None], _spans(text, runs) if n_hit else []))
-            columns = list(zip(*out, strict=True)) or [()] * 8
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "spans"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-    return rows.mapInArrow(run, SCHEMA)
+    return rows
 
 
 SCAN_SQL = """

@@ -23,10 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import LOWER, WHITE, blocks, span_hashes, text_bounds
+from ._text import pieces as slices
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Bytes of text that are tokenised at a time.
 BLOCK_BYTES = 1 << 20
+#: Rows whose texts are Python objects at a time.
+SLICE = 1024
 #: Pieces of text whose ids a worker remembers at once.
 KNOWN_PIECES = 500_000
 _SPACE, _LETTER, _DIGIT, _MARK, _STICKY = range(5)
@@ -216,7 +219,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, max_tokens: int = 2048, end_id
             ids, held, tokens = [], [], 0
             return pa.RecordBatch.from_arrays(columns, names)
 
-        for batch in batches:
+        for batch in slices(batches, SLICE):
             keys = batch.column("doc_id").to_pylist()
             for begin, texts in blocks(batch.column("text").to_pylist(), BLOCK_BYTES):
                 for key, got in zip(keys[begin : begin + len(texts)], tokenizer.many(texts), strict=True):
