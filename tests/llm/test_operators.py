@@ -186,6 +186,26 @@ def test_repeated_strings_equal_brute_force(spark, monkeypatch, limit, rows):
     assert by_row(suffix_dedup.remove_repeats(df).collect()) == by_row(want)
 
 
+def test_workers_hold_few_rows_and_give_memory_back(spark, monkeypatch, tmp_path):
+    cut = suffix_dedup.slices
+    folder = str(tmp_path)
+
+    def slices(batches, rows):
+        for batch in cut(batches, rows):
+            Path(f"{folder}/{batch.num_rows} rows, {' '.join(batch.schema.names)}").touch()
+            yield batch
+
+    monkeypatch.setattr(suffix_dedup, "SLICE", 2)
+    monkeypatch.setattr(suffix_dedup, "slices", slices)
+    monkeypatch.setattr(suffix_dedup, "give_back", lambda: Path(f"{folder}/given back").touch())
+    text = "".join(random.Random(7).choices("abcdef", k=900))
+    df = spark.createDataFrame([(1, text), (2, "x" + text[100:]), (3, text[:800] + "y"), (4, "z"), (5, None)], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(df).collect()} == {1: 900, 2: 800, 3: 800, 4: 0, 5: 0}
+    seen = {p.name for p in tmp_path.iterdir()}
+    assert "given back" in seen and all(x[0] in "12" for x in seen - {"given back"})
+    assert len({x[7:] for x in seen - {"given back"}}) == 4
+
+
 def test_long_texts_are_winnowed_in_sections():
     rng = np.random.default_rng(1)
     raw = rng.integers(97, 100, 10_000, dtype=np.uint8).tobytes()

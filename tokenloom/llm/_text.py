@@ -101,10 +101,15 @@ PIECE = 256
 
 
 def pieces(batches: Iterable[pa.RecordBatch], rows: int = PIECE) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most ``rows`` rows; what is no longer used is given back to the system at the end, as idle workers stay."""
+    """The batches in slices of at most ``rows`` rows; what is no longer used is given back to the system at the end."""
     for batch in batches:
         for begin in range(0, batch.num_rows, rows):
             yield batch.slice(begin, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Gives back to the system what a worker no longer uses, as idle workers stay."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
     if trim:

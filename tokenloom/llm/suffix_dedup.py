@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import discard, written
-from ._text import blocks, mix64
+from ._text import blocks, give_back, mix64
+from ._text import pieces as slices
 
 WIDTH, MARK, GRAM = 400, 287, 32
 #: Positions at which the anchor of a string can stand in it; bytes of a context before the anchor.
@@ -47,6 +48,8 @@ SECTION = 1 << 20
 LIMIT, TOGETHER = 32_000, 10_000
 #: Rows (about 30 bytes each) that are broadcast at most; beyond that a shuffled join gives the same rows.
 MAX_BROADCAST_ROWS = 2_000_000
+#: Rows of a batch that become Python objects at a time.
+SLICE = 1024
 
 _RANDOM = np.random.default_rng(400)
 _BYTE = _RANDOM.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -117,7 +120,7 @@ def anchored(docs: DataFrame) -> DataFrame:
     """``anchor`` and ``context`` (hashes), ``doc`` (the text's hash), ``n`` (its bytes) and ``pos`` of every anchor; ``docs``: ``doc``, ``text``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, SLICE):
             keys = batch.column("doc").to_numpy()
             for begin, texts in blocks(batch.column("text").to_pylist(), SECTION):
                 last = {}
@@ -203,7 +206,7 @@ def settled(pieces: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, int, bytes, bool]] = []
-        for batch in batches:
+        for batch in slices(batches, SLICE):
             for row in zip(*(batch.column(c).to_pylist() for c in ("group", "piece", "a", "skip", "bytes", "whole")), strict=True):
                 if held and row[:2] == held[-1][:2]:
                     continue
@@ -214,6 +217,8 @@ def settled(pieces: DataFrame, size: int) -> DataFrame:
                 held.append(row)
         if held:
             yield from built(held)
+            held = []
+            give_back()
 
     return pieces.repartition("group").sortWithinPartitions("group", "piece").mapInArrow(run, "group long, piece long, gone array<int>, seen array<int>")
 
@@ -226,7 +231,7 @@ def _over_texts(rows: DataFrame, docs: DataFrame, each: Callable[[bytes, dict],
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in slices(batches, SLICE):
             for doc, n, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc", "n", "text", "places")), strict=True):
                 if (doc, n) in met:
                     continue
@@ -341,7 +346,7 @@ def remove_repeats(docs: DataFrame, *, with_kept: bool = False) -> DataFrame:
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("doc", F.xxhash64("text"))
     found = written(anchored(source.select("doc", "text")))
-    # An anchor that occurs once has no part in what follows.
+    # An anchor that occurs once has no part in what follows. Counts are written before the join, which could not split a common anchor's rows otherwise.
     met = written(found.groupBy(F.col("anchor").alias("met")).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("met"))
     every = written(found.join(met, F.col("anchor") == F.col("met"), "left_semi"))
     discard(found)
@@ -352,7 +357,7 @@ def remove_repeats(docs: DataFrame, *, with_kept: bool = False) -> DataFrame:
     by_doc = written(marks.groupBy("doc", "n").agg(F.collect_list(F.struct("pos", "gone", "seen")).alias("marks")).withColumnsRenamed({"doc": "d", "n": "m"}))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, SLICE):
             raws = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             owner, begin, end = _covered(batch.column("marks"), "gone")
             first = np.searchsorted(owner, np.arange(len(raws) + 1))
